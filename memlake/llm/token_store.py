@@ -160,7 +160,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, bl
 
     (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+        .repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first())  # not by text: the range sample goes to the driver
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
         .mapInArrow(run, STORED)
         .write.option("compression", "uncompressed")
