@@ -7,6 +7,7 @@ double or trailing spaces or a special token's string go to the library whole.
 
 from __future__ import annotations
 
+import gc
 import json
 from array import array
 from collections import Counter
@@ -16,6 +17,11 @@ import numpy as np
 _open: dict[str, ChunkBpe] = {}
 
 
+def calm() -> None:
+    """Lets Python's cycle collector run rarely in this process: it would walk the large caches, which hold no cycles, again and again."""
+    gc.set_threshold(200_000, 50, 100)
+
+
 def letters() -> dict[int, str]:
     """The public byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from code point 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -25,6 +31,7 @@ def letters() -> dict[int, str]:
 
 def shared(path: str) -> ChunkBpe:
     """One encoder per worker process and file."""
+    calm()
     if path not in _open:
         _open[path] = ChunkBpe(path)
     return _open[path]

@@ -30,7 +30,22 @@ def op10_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_pair_index(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    from memlake.llm.pair_index import encode_decode
+
+    rows = encode_decode(table(spark, sf_dir, "documents"), tokenizer or vocabulary("word_bpe_49k.json"))
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlake.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op7_pair_index": op7_pair_index,
+    "op9_toxicity": op9_toxicity,
     "op8_best_two_fit": op8_best_two_fit,
     "op10_token_store": op10_token_store,
 }
