@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from memlake.session import ship, written
 
 MAX_TRAIN = 20_000  # bound of the sample of labelled rows
-MAX_WORDS = 512  # most words with a weight
+MAX_WORDS = 1024  # most words with a weight
 THRESHOLD = 0.7
 FOLDS, HELD = 3, 1
 
@@ -37,10 +37,10 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))
 
 
-def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, epochs: int = 300, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, epochs: int = 300, rate: float = 0.3, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias from presence features (rows, words), positive marks the confirmed rows. The unlabelled rows are all rows, as their marginal."""
-    p, u = x[positive].astype(np.float64), x.astype(np.float64)
-    w, b = np.zeros(x.shape[1]), 0.0
+    p, u = x[positive], x
+    w, b = np.zeros(x.shape[1], np.float32), 0.0
     m = v = np.zeros(x.shape[1] + 1)
     for t in range(1, epochs + 1):
         fp, fu = p @ w + b, u @ w + b
@@ -55,7 +55,7 @@ def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, epochs: int = 30
         g[:-1] += l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = (w - step[:-1]).astype(np.float32), float(b - step[-1])
     return w, b
 
 
