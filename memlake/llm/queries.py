@@ -30,6 +30,12 @@ def op10_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlake.llm.order_minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from memlake.llm.vector_dedup import near_duplicates
 
@@ -50,6 +56,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_order_minhash": op2_order_minhash,
     "op5_vector_dedup": op5_vector_dedup,
     "op7_pair_index": op7_pair_index,
     "op9_toxicity": op9_toxicity,
