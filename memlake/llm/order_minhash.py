@@ -24,8 +24,9 @@ from memlake.session import ship, written
 WORDS = 5
 THRESHOLD = 0.8
 SKETCHES, LENGTH = 28, 6
-PIVOTS = 3
-ROUNDS = 3
+FIRST = 7  # sketches of the first turn; it joins most of a large group with few pairs
+PIVOTS = 2
+TURNS = 4
 
 _tokens = re.compile(r"\w+").findall
 _MASK = (1 << 64) - 1
@@ -220,33 +221,34 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         rows.where("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "signatures")).alias("r")).select("digest", F.col("r.doc_id").alias("id"), F.col("r.signatures").alias("signatures")),
         "text-classes",
     )
-    entries = classes.select("id", F.explode("signatures").alias("sig")).distinct()
+    entries = classes.select("id", F.posexplode("signatures").alias("sketch", "sig"))
     shared = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
     bucket = written(entries.join(shared, "sig"), "buckets")
     seqs = written(_sequences(docs, bucket.select("id").distinct()), "sequences")
-    links, component, tested = None, None, None
-    for turn in range(ROUNDS):
-        rank = [F.min(F.struct(F.xxhash64("id", "sig", F.lit(turn * PIVOTS + p)), "id")).alias(f"p{p}") for p in range(PIVOTS)]
-        if component is None:
-            members = bucket.select("sig", "id", F.col("id").alias("component"))
-        else:
-            members = bucket.join(component, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+    component = bucket.select("id", F.col("id").alias("component")).distinct()
+    tested = None
+    for turn in range(TURNS):
+        members = bucket.where(F.col("sketch") < FIRST) if turn == 0 else bucket
+        members = members.select("sig", "id").join(component, "id")
+        if turn:
             members = members.join(members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig"), "sig")
-        pivots = members.groupBy("sig").agg(*rank).select("sig", F.explode(F.array_distinct(F.array(*(F.col(f"p{p}.id") for p in range(PIVOTS))))).alias("pivot"))
-        if component is not None:
-            own = component.select(F.col("id").alias("pivot"), F.col("component").alias("pivot_component"))
-            pivots = pivots.join(own, "pivot", "left").withColumn("pivot_component", F.coalesce("pivot_component", "pivot"))
-            pairs = members.join(pivots, "sig").where("component <> pivot_component")
-        else:
-            pairs = members.join(pivots, "sig").where("id <> pivot")
-        pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        rank = [F.min(F.struct(F.xxhash64("id", "sig", F.lit(turn * PIVOTS + p)), "id", "component")).alias(f"p{p}") for p in range(PIVOTS)]
+        chosen = F.array_distinct(F.array(*(F.struct(F.col(f"p{p}.id"), F.col(f"p{p}.component").alias("of")) for p in range(PIVOTS))))
+        pivots = members.groupBy("sig").agg(*rank).select("sig", F.explode(chosen).alias("pivot")).select("sig", F.col("pivot.id").alias("pivot"), "pivot.of")
+        pairs = members.join(pivots, "sig").where("component <> of").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = written(_links(pairs, seqs, threshold), "links")
-        if turn and new.isEmpty():
-            break
-        links = new if links is None else links.unionByName(new)
-        component = connected_components(links)
+        links = _links(pairs, seqs, threshold)
+        if turn:
+            ends = component.select(F.col("id").alias("x"), F.col("component").alias("of"))
+            links = links.join(ends.withColumnsRenamed({"x": "a", "of": "ca"}), "a").join(ends.withColumnsRenamed({"x": "b", "of": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        links = written(links, "links")
+        if links.isEmpty():
+            if turn:
+                break
+            continue
+        joined = connected_components(links).select(F.col("id").alias("component"), F.col("component").alias("now"))
+        component = written(component.join(joined, "component", "left").select("id", F.coalesce("now", "component").alias("component")), "components")
     named = classes.join(component, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
     known = rows.where("doc_id is not null").select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
     lone = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
