@@ -42,6 +42,14 @@ def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlake.llm.pii import KINDS, find, listed
+
+    count = lambda n: F.size(F.filter("base", lambda s: s["kind_no"] == n)).cast("long")
+    found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *(count(n).alias(f"n_{k}") for n, k in enumerate(KINDS)), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op7_pair_index(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     from memlake.llm.pair_index import encode_decode
 
@@ -58,6 +66,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_order_minhash": op2_order_minhash,
     "op5_vector_dedup": op5_vector_dedup,
+    "op6_pii": op6_pii,
     "op7_pair_index": op7_pair_index,
     "op9_toxicity": op9_toxicity,
     "op8_best_two_fit": op8_best_two_fit,
