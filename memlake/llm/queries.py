@@ -36,6 +36,23 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlake.llm.simhash import BITS, RADIUS, fingerprints, hamming_classes
+    from memlake.session import written
+
+    def like(a: str, b: str):
+        differ = sum(F.bit_count(F.conv(F.substring(a, k, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(b, k, 8), 16, 10).cast("long"))) for k in range(1, BITS // 4, 8))
+        return F.greatest(F.lit(0.0), F.cos(differ * (3.141592653589793 / BITS)))
+
+    found = fingerprints(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        like("fingerprint", "edited_fingerprint").alias("near_edited"), like("fingerprint", "next_fingerprint").alias("near_next"),
+    )
+    rows = written(found, "fingerprint-rows")
+    near = hamming_classes(rows, RADIUS).select(F.col("fingerprint").alias("f"), "n_links", F.col("component").alias("near_class"))
+    return rows.join(near, F.col("fingerprint") == F.col("f")).drop("f")
+
+
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from memlake.llm.vector_dedup import near_duplicates
 
@@ -65,6 +82,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_order_minhash": op2_order_minhash,
+    "op3_simhash": op3_simhash,
     "op5_vector_dedup": op5_vector_dedup,
     "op6_pii": op6_pii,
     "op7_pair_index": op7_pair_index,
