@@ -30,6 +30,12 @@ def op10_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op1_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlake.llm.bloom_lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from memlake.llm.order_minhash import near_duplicates
 
@@ -81,6 +87,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bloom_lm": op1_bloom_lm,
     "op2_order_minhash": op2_order_minhash,
     "op3_simhash": op3_simhash,
     "op5_vector_dedup": op5_vector_dedup,
