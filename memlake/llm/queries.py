@@ -59,6 +59,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(near, F.col("fingerprint") == F.col("f")).drop("f")
 
 
+def op4_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlake.llm.quotes import link
+
+    return link(table(spark, sf_dir, "conversations"))
+
+
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from memlake.llm.vector_dedup import near_duplicates
 
@@ -90,6 +96,7 @@ QUERIES = {
     "op1_bloom_lm": op1_bloom_lm,
     "op2_order_minhash": op2_order_minhash,
     "op3_simhash": op3_simhash,
+    "op4_quote_links": op4_quote_links,
     "op5_vector_dedup": op5_vector_dedup,
     "op6_pii": op6_pii,
     "op7_pair_index": op7_pair_index,

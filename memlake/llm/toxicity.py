@@ -132,7 +132,6 @@ def score(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFr
     weights = dict(zip(model["words"], model["weights"]))
     bias, slope, shift = model["bias"], model["slope"], model["shift"]
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
-    rows = rows.select(*keep, "__text")
     schema = rows.select(*keep, F.lit(0.0).alias("score")).schema
 
     def run(batches):
