@@ -24,39 +24,13 @@ from memlake.session import ship, written
 BASE = 1.35
 HASHES = 6  # a missing n-gram is taken for one seen once with a chance of about 2 ** -HASHES
 MAX_BROADCAST = 192_000_000
+FETCH = 16_000_000
 SHARD_TEXT = 4_000_000  # bytes of text for each shard
 FLUSH = 1_500_000  # tokens counted at once in a task
 FOLDS, HELD = 5, 1
 END, START = np.uint64(0x1D8AF6C1B5E0337F), np.uint64(0x5851F42D4C957F2D)
 
 
-class Words:
-    """Tokens of a text as 64-bit hashes: A-Z lowered, cut at ASCII white space, then the end."""
-
-    def __init__(self, most: int = 400_000):
-        self.known: dict[bytes, int] = {}
-        self.most = most
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        import xxhash
-
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        known = self.known
-        try:
-            out = list(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for w in set(words).difference(known):
-                known[w] = xxhash.xxh64_intdigest(w)
-            out = list(map(known.__getitem__, words))
-        out.append(int(END))
-        return np.array(out, np.uint64)
-
-
-_words = Words()
-
-
 def bigrams(w: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(history, 64-bit bigram key) of each token of texts laid end to end; ends are the places after each text."""
     h = np.empty_like(w)
@@ -83,75 +57,74 @@ def level_values(most: int = 120) -> np.ndarray:
     return out
 
 
-def places(key: np.ndarray, level: int, size: np.uint64):
-    """Bit numbers of an entry in a shard of `size` bits, one array a hash."""
+def block_and_bits(key: np.ndarray, level: int, blocks) -> tuple[np.ndarray, np.ndarray]:
+    """Block of an entry among `blocks` of 512 bits, so that an entry's probes touch one cache line, and a hash whose 9-bit parts are its bits there."""
     a = mix(key + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    b = mix(a ^ np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
-    for k in range(HASHES):
-        yield (a + b * np.uint64(k)) % size
+    return (a >> np.uint64(32)) * blocks >> np.uint64(32), mix(a ^ np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def build_filter(key: np.ndarray, level: np.ndarray) -> bytes:
-    """The bits of one shard: a 64-bit size, then the packed bits."""
-    events = int(level.sum())
-    size = max(64, int(events * HASHES / np.log(2)))
-    bits = np.zeros(size, bool)
-    wide = np.uint64(size)
-    now, left = key, level
+    """The bits of one shard, in blocks of 512."""
+    blocks = max(1, -(-int(level.sum() * HASHES / np.log(2)) // 512))
+    bits = np.zeros(blocks * 512, bool)
     step = 1
-    while len(now):
-        for at in places(now, step, wide):
-            bits[at.astype(np.int64)] = True
+    while len(key):
+        block, h = block_and_bits(key, step, np.uint64(blocks))
+        at = (block << np.uint64(9)).astype(np.int64)
+        for k in range(HASHES):
+            bits[at + (h >> np.uint64(9 * k) & np.uint64(511)).astype(np.int64)] = True
         step += 1
-        keep = left >= step
-        now, left = now[keep], left[keep]
-    return np.uint64(size).tobytes() + np.packbits(bits, bitorder="little").tobytes()
+        keep = level >= step
+        key, level = key[keep], level[keep]
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 class Filter:
     """Shards of the filter; answers for keys of the shards it holds."""
 
-    def __init__(self, parts: dict[int, bytes], shards: int):
+    def __init__(self, sizes: dict[int, int], shards: int):
+        """sizes: bytes of each shard; put() fills them in."""
         self.shards = shards
-        self.size = np.zeros(shards, np.uint64)
+        self.blocks = np.zeros(shards, np.uint64)
         self.start = np.full(shards, -1, np.int64)
         at = 0
-        for s in sorted(parts):
-            self.size[s] = np.frombuffer(parts[s], np.uint64, 1)[0]
-            self.start[s] = at
-            at += len(parts[s]) - 8
-        self.bits = np.frombuffer(b"".join(memoryview(parts[s])[8:] for s in sorted(parts)), np.uint8)
+        for s in sorted(sizes):
+            self.blocks[s], self.start[s] = sizes[s] // 64, at
+            at += sizes[s]
+        self.bits = np.zeros(at, np.uint8)
+
+    def put(self, shard: int, raw) -> None:
+        self.bits[self.start[shard] : self.start[shard] + len(raw)] = np.frombuffer(raw, np.uint8)
 
     def has(self, key: np.ndarray, level: int) -> np.ndarray:
         """Which keys are in, as places."""
         alive = np.arange(len(key))
         shard = shard_of(key, self.shards)
-        inside = self.start[shard] >= 0
-        alive, key, shard = alive[inside], key[inside], shard[inside]
-        size, start = self.size[shard], self.start[shard]
-        a = mix(key + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        b = mix(a ^ np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+        start = self.start[shard]
+        if (start < 0).any():
+            alive = np.flatnonzero(start >= 0)
+            key, shard, start = key[alive], shard[alive], start[alive]
+        block, h = block_and_bits(key, level, self.blocks[shard])
+        base = start + (block << np.uint64(6)).astype(np.int64)
         for k in range(HASHES):
-            at = ((a + b * np.uint64(k)) % size).astype(np.int64)
-            ok = (self.bits[start + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
-            alive, a, b, size, start = alive[ok], a[ok], b[ok], size[ok], start[ok]
+            at = h >> np.uint64(9 * k) & np.uint64(511)
+            ok = np.flatnonzero(self.bits[base + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            if len(ok) < len(alive):
+                alive, h, base = alive[ok], h[ok], base[ok]
         return alive
 
-    def words(self, w: np.ndarray) -> np.ndarray:
-        """Levels of unigrams."""
-        u, back = np.unique(w, return_inverse=True)
-        return self.levels(mix(u))[back]
-
     def levels(self, key: np.ndarray) -> np.ndarray:
         """Level of each key by repeated probes; 0 for one that is not in."""
         out = np.zeros(len(key), np.uint8)
-        at, level = self.has(key, 1), 1
+        at = self.has(key, 1)
         out[at] = 1
+        at = at[self.has(key[at], 2)]
+        out[at] = 2
         if not len(at):
             return out
         rest, back = np.unique(key[at], return_inverse=True)
-        found = np.ones(len(rest), np.uint8)
-        alive = np.arange(len(rest))
+        found = np.full(len(rest), 2, np.uint8)
+        alive, level = np.arange(len(rest)), 2
         while len(alive) and level < 119:
             level += 1
             alive = alive[self.has(rest[alive], level)]
@@ -163,22 +136,71 @@ class Filter:
 class Counts:
     """Exact unigram counts of the shards it holds."""
 
-    def __init__(self, parts: dict[int, tuple[bytes, bytes]], shards: int):
-        self.shards = shards
-        self.key = np.frombuffer(b"".join(parts[s][0] for s in sorted(parts)), np.uint64)
-        self.count = np.frombuffer(b"".join(parts[s][1] for s in sorted(parts)), np.uint32)
+    def __init__(self, sizes: dict[int, int], shards: int):
+        """sizes: number of words of each shard; put() fills them in."""
+        self.start = dict(zip(sorted(sizes), np.cumsum([0, *(sizes[s] for s in sorted(sizes))]).tolist()))
+        n = sum(sizes.values())
+        self.key, self.count = np.zeros(n, np.uint64), np.zeros(n, np.uint32)
+
+    def put(self, shard: int, key, count) -> None:
+        at = self.start[shard]
+        self.key[at : at + len(key) // 8] = np.frombuffer(key, np.uint64)
+        self.count[at : at + len(count) // 4] = np.frombuffer(count, np.uint32)
 
     def __call__(self, w: np.ndarray) -> np.ndarray:
+        """Counts of word hashes."""
         if not len(self.key):
             return np.zeros(len(w), np.uint32)
-        u, back = np.unique(mix(w), return_inverse=True)
+        u = mix(w)
         at = np.minimum(np.searchsorted(self.key, u), len(self.key) - 1)
-        return np.where(self.key[at] == u, self.count[at], 0).astype(np.uint32)[back]
+        return np.where(self.key[at] == u, self.count[at], 0).astype(np.uint32)
+
+
+class Lexicon:
+    """Hash, exact count and probed level of the words met so far, by a number for each; what a word needs is worked out once."""
+
+    def __init__(self, counts=None, table=None, most: int = 400_000):
+        self.counts, self.table, self.most = counts, table, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.hash, self.count, self.level = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self._add([b"\n"], [int(END)])  # no word is a line feed
+
+    def _add(self, words: list[bytes], hashes: list[int]) -> None:
+        n = len(self.number)
+        self.number.update(zip(words, range(n, n + len(words))))
+        h = np.array(hashes, np.uint64)
+        self.hash = np.concatenate([self.hash, h])
+        self.count = np.concatenate([self.count, self.counts(h) if self.counts is not None else np.zeros(len(h), np.uint32)])
+        self.level = np.concatenate([self.level, self.table.levels(mix(h)) if self.table is not None else np.zeros(len(h), np.uint8)])
+
+    def lay(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the tokens of the texts laid end to end, places after each text)."""
+        import xxhash
+
+        split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        new = set().union(*split).difference(self.number)
+        if new and len(self.number) + len(new) > self.most:
+            self.clear()
+            new = set().union(*split).difference(self.number)
+        if new:
+            new = list(new)
+            self._add(new, [xxhash.xxh64_intdigest(w) for w in new])
+        get, numbers = self.number.__getitem__, []
+        for words in split:
+            numbers += map(get, words)
+            numbers.append(0)
+        return np.array(numbers, np.int64), np.cumsum([len(x) + 1 for x in split])
+
+
+_lexicon = Lexicon()
 
 
 def _laid(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    parts = [_words(t) for t in texts]
-    return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+    at, ends = _lexicon.lay(texts)
+    return _lexicon.hash[at], ends
 
 
 def _slices(batch: pa.RecordBatch, column: int, most: int = 1_000_000):
@@ -276,6 +298,7 @@ def count_bigrams(train: DataFrame, unigrams: DataFrame, counts, shards: int) ->
         calm()
         held: list = []
         size = 0
+        words = Lexicon(counts.value if counts is not None else None)
 
         def out():
             key = np.concatenate([x[0] for x in held])
@@ -285,8 +308,9 @@ def count_bigrams(train: DataFrame, unigrams: DataFrame, counts, shards: int) ->
 
         for b in batches:
             for part, texts in _slices(b, 0):
-                w, ends = _laid(texts)
-                c = counts.value(w) if counts is not None else np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32)
+                at, ends = words.lay(texts)
+                w = words.hash[at]
+                c = words.count[at] if counts is not None else np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32)
                 _, key = bigrams(w, ends)
                 before = np.zeros(len(w), np.uint8)
                 before[1:] = level_of(c[:-1])
@@ -357,9 +381,13 @@ def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     about = unigrams.select("shard", F.octet_length("key").alias("bytes"), "tokens", "words").collect()  # a row for each shard
     total, distinct = sum(r["tokens"] for r in about), sum(r["words"] for r in about)
 
-    def counts_of(group):
-        got = unigrams.where(F.col("shard").isin(group)).select("shard", "key", "count").collect() if group else []  # at most max_broadcast bytes
-        return spark.sparkContext.broadcast(Counts({r["shard"]: (bytes(r["key"]), bytes(r["count"])) for r in got}, shards))
+    def counts_of(group):  # at most max_broadcast bytes, fetched in smaller parts
+        sizes = {r["shard"]: r["words"] for r in about if r["shard"] in set(group)}
+        out = Counts(sizes, shards)
+        for part in _groups([(k, 12 * n) for k, n in sizes.items()], FETCH):
+            for r in unigrams.where(F.col("shard").isin(part)).select("shard", "key", "count").collect() if part else []:
+                out.put(*r)
+        return spark.sparkContext.broadcast(out)
 
     groups = _groups([(r["shard"], r["bytes"] * 3 // 2) for r in about], max_broadcast)
     if len(groups) == 1:
@@ -380,8 +408,12 @@ def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     new = np.clip((single + 1.0) / (every + 2.0), 0.001, 0.999)
 
     def filter_of(group):
-        got = grams.where(F.col("shard").isin(group)).select("shard", "filter").collect() if group else []
-        return spark.sparkContext.broadcast(Filter({r["shard"]: bytes(r["filter"]) for r in got}, shards))
+        sizes = {r["shard"]: r["bytes"] for r in sums if r["shard"] in set(group)}
+        out = Filter(sizes, shards)
+        for part in _groups(list(sizes.items()), FETCH):
+            for r in grams.where(F.col("shard").isin(part)).select("shard", "filter").collect() if part else []:
+                out.put(*r)
+        return spark.sparkContext.broadcast(out)
 
     groups = _groups([(r["shard"], r["bytes"]) for r in sums], max_broadcast)
     if len(groups) == 1:
@@ -393,7 +425,7 @@ def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
 
             def answer(texts, part=part):
                 w, ends = _laid(texts)
-                two = part.value.levels(bigrams(w, ends)[1]), part.value.words(w)
+                two = part.value.levels(bigrams(w, ends)[1]), part.value.levels(mix(w))
                 return [np.concatenate(x) for x in zip(*(np.split(y, ends[:-1]) for y in two))]
 
             rows = _filled(rows, "levels", answer)
@@ -404,10 +436,12 @@ def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
         from memlake.llm.chunk_bpe import calm
 
         calm()
+        words = Lexicon(counts.value if counts is not None else None, table.value if table is not None else None)
         for b in batches:
             for part, texts in _slices(b, 1):
-                w, ends = _laid(texts)
-                c = counts.value(w) if counts is not None else np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint32)
+                number, ends = words.lay(texts)
+                w = words.hash[number]
+                c = words.count[number] if counts is not None else np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint32)
                 base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
                 class_ = np.where(c > 0, level_of(c), 0)
                 before = np.zeros(len(w), np.int64)
@@ -417,7 +451,7 @@ def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
                     asked = np.flatnonzero((c > 0) & (before > 0))
                     pair = np.zeros(len(w), np.uint8)
                     pair[asked] = table.value.levels(bigrams(w, ends)[1][asked])
-                    level = table.value.words(w)
+                    level = words.level[number]
                 else:
                     both = [np.frombuffer(x, np.uint8) for x in part.column(4).to_pylist()]
                     pair = np.where((c > 0) & (before > 0), np.concatenate([x[: len(x) // 2] for x in both]), 0)
