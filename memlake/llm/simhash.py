@@ -82,33 +82,33 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     to the end of the last.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 62))))  # null doc_ids come last
     n = partitions(spark) * 4
     cuts = rows.where("doc_id is not null").agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100 * n)).first()[0] or []
     cuts = sorted(set(cuts), reverse=True)
-    place = F.lit(0) if not cuts else F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.expr(_bucket_sql(cuts)))
+    place = F.expr(_bucket_sql(cuts))
     bucketed = rows.withColumn("bucket", place.cast("int"))
-    order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 62))), F.coalesce("text", F.lit("")))
-    heads = bucketed.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()  # a row for each bucket
+    order = F.struct("at", F.coalesce("text", F.lit("")))
+    heads = bucketed.groupBy("bucket").agg(F.max("at").alias("head")).collect()  # a row for each bucket
     heads = sorted((r["bucket"], r["head"]) for r in heads)
     sends = {}
     for k, (_, head) in enumerate(heads):
         before = heads[k - 1][0]
         sends.setdefault(head, []).append(before)
-    copies = spark.createDataFrame([(h, b) for h, bs in sends.items() if h is not None for b in bs] or [(None, None)], "head long, to int")
-    tails = rows.join(F.broadcast(copies), F.col("doc_id") == F.col("head"))  # four rows for each partition
+    copies = spark.createDataFrame([(h, b) for h, bs in sends.items() for b in bs], "head long, to int")
+    tails = rows.join(F.broadcast(copies), F.col("at") == F.col("head"))  # four rows for each partition
     tails = tails.groupBy("head", "to").agg(F.max(F.struct(order.alias("o"), "doc_id", "text")).alias("r")).select(F.col("to").alias("bucket"), F.lit(False).alias("own"), "r.doc_id", "r.text")
     return bucketed.select("bucket", F.lit(True).alias("own"), "doc_id", "text").unionByName(tails)
 
 
 def _bucket_sql(cuts: list[int]) -> str:
-    """Number of cuts above doc_id, by halving, as SQL: cuts are in descending order."""
+    """Number of cuts above `at`, by halving, as SQL: cuts are in descending order."""
 
     def node(lo: int, hi: int) -> str:
         if lo == hi:
             return str(lo)
         mid = (lo + hi) // 2
-        return f"IF(doc_id >= {cuts[mid]}, {node(lo, mid)}, {node(mid + 1, hi)})"
+        return f"IF(at >= {cuts[mid]}, {node(lo, mid)}, {node(mid + 1, hi)})"
 
     return node(0, len(cuts))
 
