@@ -22,7 +22,8 @@ from memlake.llm.order_minhash import mix
 from memlake.session import ship, written
 
 BASE = 1.35
-HASHES = 6  # a missing n-gram is taken for one seen once with a chance of about 2 ** -HASHES
+HASHES = 5  # bits an entry sets, all in one 64-bit word
+ROOM = 10.5  # bits of the filter an entry has; a missing n-gram is taken for one seen once with a chance of some 3 %
 MAX_BROADCAST = 192_000_000
 FETCH = 16_000_000
 SHARD_TEXT = 4_000_000  # bytes of text for each shard
@@ -57,26 +58,28 @@ def level_values(most: int = 120) -> np.ndarray:
     return out
 
 
-def block_and_bits(key: np.ndarray, level: int, blocks) -> tuple[np.ndarray, np.ndarray]:
-    """Block of an entry among `blocks` of 512 bits, so that an entry's probes touch one cache line, and a hash whose 9-bit parts are its bits there."""
+def word_and_mask(key: np.ndarray, level: int, words) -> tuple[np.ndarray, np.ndarray]:
+    """Word of an entry among `words` of 64 bits, so that one look answers for it, and its bits there."""
     a = mix(key + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    return (a >> np.uint64(32)) * blocks >> np.uint64(32), mix(a ^ np.uint64(0xC2B2AE3D27D4EB4F))
+    h = a * np.uint64(0xC2B2AE3D27D4EB4F)
+    mask = np.uint64(1) << (h >> np.uint64(58))
+    for k in range(1, HASHES):
+        mask |= np.uint64(1) << (h >> np.uint64(58 - 6 * k) & np.uint64(63))
+    return (a >> np.uint64(32)) * words >> np.uint64(32), mask
 
 
 def build_filter(key: np.ndarray, level: np.ndarray) -> bytes:
-    """The bits of one shard, in blocks of 512."""
-    blocks = max(1, -(-int(level.sum() * HASHES / np.log(2)) // 512))
-    bits = np.zeros(blocks * 512, bool)
+    """The words of one shard."""
+    words = max(1, int(level.sum() * ROOM / 64))
+    out = np.zeros(words, np.uint64)
     step = 1
     while len(key):
-        block, h = block_and_bits(key, step, np.uint64(blocks))
-        at = (block << np.uint64(9)).astype(np.int64)
-        for k in range(HASHES):
-            bits[at + (h >> np.uint64(9 * k) & np.uint64(511)).astype(np.int64)] = True
+        word, mask = word_and_mask(key, step, np.uint64(words))
+        np.bitwise_or.at(out, word.astype(np.int64), mask)
         step += 1
         keep = level >= step
         key, level = key[keep], level[keep]
-    return np.packbits(bits, bitorder="little").tobytes()
+    return out.tobytes()
 
 
 class Filter:
@@ -85,33 +88,28 @@ class Filter:
     def __init__(self, sizes: dict[int, int], shards: int):
         """sizes: bytes of each shard; put() fills them in."""
         self.shards = shards
-        self.blocks = np.zeros(shards, np.uint64)
+        self.words = np.zeros(shards, np.uint64)
         self.start = np.full(shards, -1, np.int64)
         at = 0
         for s in sorted(sizes):
-            self.blocks[s], self.start[s] = sizes[s] // 64, at
-            at += sizes[s]
-        self.bits = np.zeros(at, np.uint8)
+            self.words[s], self.start[s] = sizes[s] // 8, at
+            at += sizes[s] // 8
+        self.whole = len(sizes) == shards
+        self.bits = np.zeros(at, np.uint64)
 
     def put(self, shard: int, raw) -> None:
-        self.bits[self.start[shard] : self.start[shard] + len(raw)] = np.frombuffer(raw, np.uint8)
+        self.bits[self.start[shard] : self.start[shard] + len(raw) // 8] = np.frombuffer(raw, np.uint64)
 
     def has(self, key: np.ndarray, level: int) -> np.ndarray:
         """Which keys are in, as places."""
-        alive = np.arange(len(key))
         shard = shard_of(key, self.shards)
-        start = self.start[shard]
-        if (start < 0).any():
+        start, alive = self.start[shard], None
+        if not self.whole and (start < 0).any():
             alive = np.flatnonzero(start >= 0)
             key, shard, start = key[alive], shard[alive], start[alive]
-        block, h = block_and_bits(key, level, self.blocks[shard])
-        base = start + (block << np.uint64(6)).astype(np.int64)
-        for k in range(HASHES):
-            at = h >> np.uint64(9 * k) & np.uint64(511)
-            ok = np.flatnonzero(self.bits[base + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-            if len(ok) < len(alive):
-                alive, h, base = alive[ok], h[ok], base[ok]
-        return alive
+        word, mask = word_and_mask(key, level, self.words[shard])
+        ok = np.flatnonzero(self.bits[start + word.astype(np.int64)] & mask == mask)
+        return ok if alive is None else alive[ok]
 
     def levels(self, key: np.ndarray) -> np.ndarray:
         """Level of each key by repeated probes; 0 for one that is not in."""
