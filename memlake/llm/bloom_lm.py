@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.llm.chunk_bpe import keep_cache
 from memlake.llm.order_minhash import mix
 from memlake.session import ship, written
 
@@ -194,6 +195,7 @@ class Lexicon:
 
 
 _lexicon = Lexicon()
+keep_cache("lexicon", _lexicon.clear)
 
 
 def _laid(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +238,7 @@ def _by_shard(df: DataFrame, shards: int, merge, schema: str) -> DataFrame:
     def run(batches):
         from memlake.llm.chunk_bpe import calm
 
-        calm()
+        calm("lexicon")
         now, held = None, []
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in range(b.num_columns))):
@@ -261,7 +263,7 @@ def count_unigrams(train: DataFrame, shards: int) -> DataFrame:
     def run(batches):
         from memlake.llm.chunk_bpe import calm
 
-        calm()
+        calm("lexicon")
         held, size = [], 0
 
         def out():
@@ -293,7 +295,7 @@ def count_bigrams(train: DataFrame, unigrams: DataFrame, counts, shards: int) ->
     def run(batches):
         from memlake.llm.chunk_bpe import calm
 
-        calm()
+        calm("lexicon")
         held: list = []
         size = 0
         words = Lexicon(counts.value if counts is not None else None)
@@ -433,7 +435,7 @@ def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     def run(batches):
         from memlake.llm.chunk_bpe import calm
 
-        calm()
+        calm("lexicon")
         words = Lexicon(counts.value if counts is not None else None, table.value if table is not None else None)
         for b in batches:
             for part, texts in _slices(b, 1):

@@ -17,8 +17,20 @@ import numpy as np
 _open: dict[str, ChunkBpe] = {}
 
 
-def calm() -> None:
-    """Lets Python's cycle collector run rarely in this process: it would walk the large caches, which hold no cycles, again and again."""
+_caches: dict = {}
+
+
+def keep_cache(owner: str, clear) -> None:
+    """Names a cache of this worker process and the way to empty it."""
+    _caches[owner] = clear
+
+
+def calm(owner: str) -> None:
+    """For a task of an operator: empties the caches that other operators have left in this worker process, and lets Python's cycle
+    collector run rarely, which would walk the large caches, which hold no cycles, again and again."""
+    for name, clear in _caches.items():
+        if name != owner:
+            clear()
     gc.set_threshold(200_000, 50, 100)
 
 
@@ -31,12 +43,15 @@ def letters() -> dict[int, str]:
 
 def shared(path: str) -> ChunkBpe:
     """One encoder per worker process and file."""
-    calm()
+    calm("chunks")
     if path not in _open:
         _open[path] = ChunkBpe(path)
     return _open[path]
 
 
+keep_cache("chunks", _open.clear)
+
+
 class _Known(dict):
     """Ids by chunk; works out and keeps what it lacks."""
 

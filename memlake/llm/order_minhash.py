@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.llm.chunk_bpe import keep_cache
 from memlake.operators.graph import connected_components
 from memlake.session import ship, written
 
@@ -60,6 +61,7 @@ class Hasher:
 
 
 _hasher = Hasher()
+keep_cache("words", _hasher.known.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -174,7 +176,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches):
         from memlake.llm.chunk_bpe import calm
 
-        calm()
+        calm("words")
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)

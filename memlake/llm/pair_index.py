@@ -17,13 +17,14 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from memlake.llm.chunk_bpe import calm, letters
+from memlake.llm.chunk_bpe import calm, keep_cache, letters
 from memlake.session import ship
 
 #: White space of the vocabulary's regular expressions (fixed values).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 _open: dict[str, PairIndexBpe] = {}
+keep_cache("pairs", _open.clear)
 
 
 def shared(path: str) -> PairIndexBpe:
@@ -201,7 +202,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
-        calm()
+        calm("pairs")
         bpe = shared(tokenizer)
         for b in batches:
             at = 0

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.llm.chunk_bpe import keep_cache
 from memlake.llm.order_minhash import words_of
 from memlake.llm.tiles import tile_links
 from memlake.operators.graph import connected_components
@@ -59,6 +60,7 @@ class Voter:
 
 
 _voter = Voter()
+keep_cache("votes", _voter.known.clear)
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -130,7 +132,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches):
         from memlake.llm.chunk_bpe import calm
 
-        calm()
+        calm("votes")
         held = None
         first = None  # of this bucket, for a table in one bucket
 
