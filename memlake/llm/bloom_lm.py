@@ -28,7 +28,7 @@ ROOM = 10.5  # bits of the filter an entry has; a missing n-gram is taken for on
 MAX_BROADCAST = 192_000_000
 FETCH = 16_000_000
 SHARD_TEXT = 4_000_000  # bytes of text for each shard
-FLUSH = 1_500_000  # tokens counted at once in a task
+FLUSH = 1_000_000  # tokens counted at once in a task
 FOLDS, HELD = 5, 1
 END, START = np.uint64(0x1D8AF6C1B5E0337F), np.uint64(0x5851F42D4C957F2D)
 
@@ -158,7 +158,7 @@ class Counts:
 class Lexicon:
     """Hash, exact count and probed level of the words met so far, by a number for each; what a word needs is worked out once."""
 
-    def __init__(self, counts=None, table=None, most: int = 400_000):
+    def __init__(self, counts=None, table=None, most: int = 200_000):
         self.counts, self.table, self.most = counts, table, most
         self.clear()
 
@@ -203,7 +203,7 @@ def _laid(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return _lexicon.hash[at], ends
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = 1_000_000):
+def _slices(batch: pa.RecordBatch, column: int, most: int = 500_000):
     """Parts of a batch of about `most` characters of text, and their texts."""
     at = 0
     while at < batch.num_rows:
@@ -280,6 +280,7 @@ def count_unigrams(train: DataFrame, shards: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield out()
+        _lexicon.clear()  # an idle worker holds no words
 
     def merge(shard, rows):
         u, n, _ = _merged([np.frombuffer(r[0], np.uint64) for r in rows], [np.frombuffer(r[1], np.uint32) for r in rows])
