@@ -65,3 +65,24 @@ def scope_weight(scope: Column) -> Column:
 
 def trust(origin: Column) -> Column:
     return F.coalesce(map_of(TRUST)[origin], F.lit(1.0))
+
+
+#: Suffixes of the light stemmer, the first that leaves four characters goes (fixed values).
+SUFFIXES = ("ing", "ed", "es", "s")
+
+
+def light_stem(token: Column) -> Column:
+    """token without its suffix, then without a closing y or i that follows a consonant where five characters or more are left."""
+    stem = token
+    for suffix in reversed(SUFFIXES):
+        n = len(suffix)
+        stem = F.when(token.endswith(suffix) & (F.length(token) >= n + 4), F.left(token, F.length(token) - n)).otherwise(stem)
+    closing = (F.length(stem) >= 5) & stem.rlike("[^aeiou][yi]$")
+    return F.when(closing, F.left(stem, F.length(stem) - 1)).otherwise(stem)
+
+
+def luhn(digits: Column) -> Column:
+    """Whether a string of digits passes Luhn's check; false for an empty string or one with other characters."""
+    from_right = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 1, c.cast("int") * 2).otherwise(c.cast("int")))
+    total = F.aggregate(from_right, F.lit(0), lambda s, x: s + F.when(x > 9, x - 9).otherwise(x))
+    return F.when(digits.rlike("^[0-9]+$"), total % 10 == 0).otherwise(F.lit(False))

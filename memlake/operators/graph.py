@@ -69,3 +69,58 @@ def shared_entity_edges(entities: DataFrame, least: int = 2, fan_out: int = 8, m
     shared = pairs.groupBy(F.col("x.id").alias("src"), F.col("y.id").alias("dst")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("shared"), "dst"))
     return shared.withColumn("r", rank).where(F.col("r") <= fan_out).drop("r")
+
+
+def distances(edges: DataFrame, seeds: DataFrame, most: int = 16) -> DataFrame:
+    """(id, depth, via): fewest steps along directed edges(src, dst) from seeds(id) and the smallest node before it on such a way.
+
+    The edges are written once and each frontier is written too, so a round costs one join of the frontier; it ends when a frontier
+    is empty or after `most` steps. Null ends are dropped.
+    """
+    steps = written(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst").distinct(), "steps")
+    front = seeds.where("id is not null").select(F.col("id").cast("long").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("via")).distinct()
+    seen = front = written(front, "front")
+    for depth in range(1, most + 1):
+        out = steps.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("via"))
+        front = written(out.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "via"), "front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def shortest_path(edges: DataFrame, source: int, target: int, most: int = 16) -> list[int] | None:
+    """The nodes of one shortest way from source to target, the smallest before each; None without one within `most` steps.
+
+    At most `most` rows reach the driver.
+    """
+    spark = edges.sparkSession
+    known = distances(edges, spark.createDataFrame([(source,)], "id long"), most)
+    path = [target]
+    while path[-1] != source:
+        row = known.where(F.col("id") == path[-1]).select("via").first()
+        if row is None:
+            return None
+        path.append(row[0])
+    return path[::-1]
+
+
+def merge_clusters(rows: DataFrame, keys: list[str], order: list[str], threshold: float, name: str = "id", vector: str = "embedding") -> DataFrame:
+    """(id, survivor): rows that a survivor of equal keys absorbs, its cosine with them being at least the threshold.
+
+    Each bucket's first row by (order, id) survives and takes the near ones; the rest go on to the next turn. Equal keys mean equal
+    text, so a second turn is rare. A turn compares each row with one survivor, never all with all, and every row is looked at.
+    Null keys form no bucket; null or zero vectors are near nothing.
+    """
+    from memlake.functions.vector import cosine
+
+    left = rows.select(F.col(name).alias("id"), F.col(vector).alias("vector"), F.struct(*order, F.col(name)).alias("place"), *keys).dropna(subset=["id", *keys])
+    found = None
+    while True:
+        first = left.groupBy(*keys).agg(F.min(F.struct("place", "id", "vector")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys, F.col("f.id").alias("survivor"), F.col("f.vector").alias("v"))
+        judged = written(left.join(first, keys).where("id <> survivor").withColumn("near", F.coalesce(cosine(F.col("vector"), F.col("v")) >= threshold, F.lit(False))), "merge")
+        absorbed = judged.where("near").select("id", "survivor")
+        found = absorbed if found is None else found.unionByName(absorbed)
+        left = judged.where("not near").select("id", "vector", "place", *keys)
+        if left.isEmpty():
+            return found
