@@ -86,3 +86,34 @@ def luhn(digits: Column) -> Column:
     from_right = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 1, c.cast("int") * 2).otherwise(c.cast("int")))
     total = F.aggregate(from_right, F.lit(0), lambda s, x: s + F.when(x > 9, x - 9).otherwise(x))
     return F.when(digits.rlike("^[0-9]+$"), total % 10 == 0).otherwise(F.lit(False))
+
+
+#: Words that say nothing about a topic (fixed values).
+STOPWORDS = (
+    "the and for are but not you your with this that these those from into about what whats which who whom how why when where can could would "
+    "should will shall does did was were been being have has had its it is as at by of to in on or an be do me my we us our im ive let lets please "
+    "tell give show want need get got use using there their they them then than some any all more most such via per during while until unless before "
+    "after again against above below between through under over because also just only very much many each both same other another always never still "
+    "even ever every first found thing things value default if so up out off down no yes"
+).split()
+#: Classes of a task by the words it contains, the first class that has one; "feature" without any (fixed values).
+TASKS = {
+    "debug": ("fix", "bug", "error", "fail", "crash", "panic", "regression", "broken", "debug", "stack trace", "exception"),
+    "investigation": ("investigate", "analyze", "understand", " why ", "explore", "find out", "root cause", "audit", "trace"),
+    "refactor": ("refactor", "rename", "cleanup", "clean up", "restructure", "simplify", "extract", "deduplicate", "reorganize"),
+    "docs": ("document", "readme", "changelog", "comment", "docstring", "docs", "tutorial", "guide"),
+}
+
+
+def content_tokens(text: Column) -> Column:
+    """Distinct stems of the tokens that are no stopwords, in order."""
+    kept = F.filter(tokens(text), lambda t: ~t.isin(*STOPWORDS))
+    return F.array_distinct(F.transform(kept, light_stem))
+
+
+def task_class(task: Column) -> Column:
+    """The class of a task's text; null for null."""
+    low, found = F.lower(task), F.lit("feature")
+    for name, words in reversed(TASKS.items()):
+        found = F.when(low.rlike("|".join(words)), name).otherwise(found)
+    return F.when(task.isNotNull(), found)

@@ -39,10 +39,25 @@ def merge_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merge_clusters(docs.where("claim <> ''"), ["source", "lang", "claim"], [], 0.8, "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (light_stems, luhn_check, clock_text, path_lengths, merge_clusters)}
+def content_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(T.content_tokens(F.col("text")), " ").alias("terms"))
+
+
+def task_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy(T.task_class(F.concat_ws(" why ", "role", "text")).alias("task"), "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (content_terms, task_classes, light_stems, luhn_check, clock_text, path_lengths, merge_clusters)}
 
 _SUFFIX = "CASE " + " ".join(f"WHEN regexp_matches(term, '^.{{4,}}{s}$') THEN left(term, length(term) - {len(s)})" for s in T.SUFFIXES) + " ELSE term END"
+_WORDS = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(t, '{'|'.join(words)}') THEN '{name}'" for name, words in T.TASKS.items()) + " ELSE 'feature' END"
 ORACLE = {
+    "content_terms": "WITH u AS (SELECT conv_id, turn, unnest(l) AS term, generate_subscripts(l, 1) AS i FROM (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda t: length(t) >= 2) AS l FROM conversations) x), "
+    f"s AS (SELECT conv_id, turn, i, {_SUFFIX} AS s FROM u WHERE NOT list_contains({_WORDS}, term)), "
+    "d AS (SELECT conv_id, turn, MIN(i) AS i, CASE WHEN length(s) >= 5 AND regexp_matches(s, '[^aeiou][yi]$') THEN left(s, length(s) - 1) ELSE s END AS stem FROM s GROUP BY conv_id, turn, stem) "
+    "SELECT c.conv_id, c.turn, COALESCE(string_agg(stem, ' ' ORDER BY i), '') AS terms FROM conversations c LEFT JOIN d USING (conv_id, turn) GROUP BY c.conv_id, c.turn",
+    "task_classes": f"SELECT {_CLASS} AS task, role, COUNT(*) AS n FROM (SELECT role, lower(concat_ws(' why ', role, text)) AS t FROM conversations) x GROUP BY 1, 2",
     "light_stems": "SELECT CASE WHEN length(s) >= 5 AND regexp_matches(s, '[^aeiou][yi]$') THEN left(s, length(s) - 1) ELSE s END AS stem, CAST(SUM(n) AS BIGINT) AS n, COUNT(*) AS terms "
     f"FROM (SELECT n, {_SUFFIX} AS s FROM (SELECT term, COUNT(*) AS n FROM (SELECT unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda t: length(t) >= 2)) AS term FROM documents) x GROUP BY term) y) z GROUP BY 1",
     "luhn_check": "SELECT o_orderkey, list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN d[i]::INT WHEN d[i]::INT > 4 THEN 2 * d[i]::INT - 9 ELSE 2 * d[i]::INT END)) % 10 = 0 AS valid "

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 SNIPPET = 4096
 SNIFFED = 8192
-#: Extension to language (fixed values).
-LANGUAGES = {"rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "go": "go", "java": "java", "md": "markdown", "toml": "toml", "json": "json", "yaml": "yaml", "yml": "yaml", "sql": "sql", "sh": "shell"}
+#: Extension to language, "unknown" for others (fixed values).
+LANGUAGES = {
+    "rs": "rust", "toml": "toml", "json": "json", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "jsx": "javascript",
+    "py": "python", "go": "go", "md": "markdown", "mdx": "markdown", "yml": "yaml", "yaml": "yaml", "html": "html", "css": "css", "sql": "sql",
+}
 #: Files that describe a project (fixed values).
 MANIFESTS = ("Cargo.toml", "package.json", "pyproject.toml", "go.mod")
 SECRET_NAME = r"(?i)^(\.env(\..*)?|.*\.pem|.*\.key|id_rsa.*)$"
@@ -26,15 +29,15 @@ def looks_binary(content: Column) -> Column:
 
 def language(path: Column) -> Column:
     known = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
-    return F.coalesce(known[F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))], F.lit("text"))
+    return F.coalesce(known[F.regexp_extract(path, r"\.([^./]+)$", 1)], F.lit("unknown"))
 
 
 def read_tree(spark: SparkSession, root: str, most_bytes: int = 1 << 20, skip: tuple[str, ...] = (".git", "node_modules", "target")) -> DataFrame:
     """(path, size, modified, language, sha256, snippet, manifest) of each text file under root.
 
     Files over most_bytes, in skipped folders, of secret names or with a zero byte near their start are left out, and so are
-    files of no bytes, which Spark's reader skips. The size filter is pushed to the source, so large files are never read. manifest holds the first
-    lines of a project's description as a JSON array, else null.
+    files of no bytes, which Spark's reader skips. The size filter is pushed to the source, so large files are never read.
+    manifest holds the first lines of a project's description as a JSON array, else null.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= most_bytes)
     for folder in skip:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 EVENT = "event_id string, run_id string, ts timestamp, kind string, schema_version int, payload string, origin string, hlc string"
 #: Event kinds that a sync batch may carry (fixed values).
-SYNCED = ("memory.accepted", "memory.cited", "memory.superseded", "memory.temporal", "memory.edge", "memory.corrected", "memory.invalidated", "memory.restored")
+SYNCED = ("memory.accepted", "memory.proposed", "memory.rejected", "memory.invalidated", "memory.restored", "memory.corrected", "memory.cited", "memory.superseded")
 #: One hybrid clock reading: 13 digits of milliseconds, 10 of a counter, the node (fixed format).
 HLC = "%013d.%010d.%s"
 

@@ -103,3 +103,11 @@ def test_stems_and_luhn(spark):
     assert got == words
     checks = {"4111111111111111": True, "4111111111111112": False, "": False, "12a": False, "0": True}
     assert {r[0]: r[1] for r in spark.createDataFrame([(d,) for d in checks], "d string").select("d", T.luhn(F.col("d"))).collect()} == checks
+
+
+def test_task_class_and_content(spark):
+    tasks = {"Fix the docs": "debug", "tell me why it is slow": "investigation", "why": "feature", "Clean up, then document": "refactor", "write a GUIDE": "docs", "": "feature", None: None}
+    got = {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in tasks], "t string").select("t", T.task_class(F.col("t"))).collect()}
+    assert got == tasks
+    row = spark.createDataFrame([("What is the retry policy during retries?", "", None)], "a string, b string, c string").select(*(T.content_tokens(F.col(c)) for c in "abc")).first()
+    assert tuple(row) == (["retr", "polic"], [], None)
