@@ -2,9 +2,10 @@
 
 A text's k-mers are its five-word shingles, labelled by occurrence. Each sketch takes the `length` smallest of them under one
 hash and keeps their text order, so texts collide when they share k-mers in the same order (edit similarity), not just as a set.
-Equal texts are one class from the start. Texts that collide are compared with pivots of their bucket, never all with all, and
-the buckets whose texts have not become one component are gone over again with other pivots. A candidate pair is a link when
-a banded alignment of the two shingle sequences finds matches m with m / (n_a + n_b - m) >= threshold.
+Equal texts are one class from the start. Texts that collide are first compared with pivots of their bucket, which joins most of a
+large group with few pairs; in the buckets whose texts have not become one component then, every pair of texts of different
+components is compared, by tiles. A candidate pair is a link when a banded alignment of the two shingle sequences finds matches m
+with m / (n_a + n_b - m) >= threshold.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.chunk_bpe import keep_cache
+from memlake.llm.tiles import tile_links
 from memlake.operators.graph import connected_components
 from memlake.session import ship, written
 
@@ -27,7 +29,8 @@ THRESHOLD = 0.8
 SKETCHES, LENGTH = 28, 6
 FIRST = 7  # sketches of the first turn; it joins most of a large group with few pairs
 PIVOTS = 2
-TURNS = 4
+TURNS = 4  # turns of pivots before the buckets still open are compared in full
+TILE = 256  # texts of one side of a comparison in full
 
 _tokens = re.compile(r"\w+").findall
 _MASK = (1 << 64) - 1
@@ -212,28 +215,88 @@ def _links(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, kept for every row of docs(doc_id, text): class_id is the smallest doc_id that links reach, kept marks it.
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Number of labelled shingles in common of each text of a with each of b; no alignment has more matches."""
+    out = np.zeros((len(a), len(b)), np.int64)
+    x, of = np.concatenate(a), np.repeat(np.arange(len(a)), [len(v) for v in a])
+    order = np.argsort(x, kind="stable")
+    x, of = x[order], of[order]
+    for j, v in enumerate(b):
+        lo = np.searchsorted(x, v, "left")
+        n = np.searchsorted(x, v, "right") - lo
+        at = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        out[:, j] = np.bincount(of[at], minlength=len(a))
+    return out
 
-    Null and empty texts are equal to each other. A null doc_id joins no class: class_id null, kept true. Rows of one doc_id are
-    one document (its smallest text is aligned). An empty table gives no rows; other columns are ignored.
+
+def cross_links(sketch: int, a: pa.StructArray, b: pa.StructArray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) between texts of different components, i < j within a alone, enough of them to join all that links join here.
+
+    The rows are (component, marks, seq). A pair that has an earlier sketch in common is left to that sketch's bucket.
+    """
+
+    def ready(v):
+        return v.field("component").to_numpy(zero_copy_only=False), v.field("marks").flatten().to_numpy(zero_copy_only=False).reshape(len(v), SKETCHES), [np.frombuffer(x, np.uint64) for x in v.field("seq").to_pylist()]
+
+    ca, ma, sa = ready(a)
+    cb, mb, sb = (ca, ma, sa) if b is None else ready(b)
+    na, nb = np.array([len(x) for x in sa]), np.array([len(x) for x in sb])
+    least = threshold / (1 + threshold) * (na[:, None] + nb) - 1e-9
+    ask = (ca[:, None] != cb) & (np.minimum(na[:, None], nb) >= least)
+    if b is None:
+        ask &= np.arange(len(na))[:, None] < np.arange(len(nb))
+    for k in range(sketch):
+        ask &= ma[:, k, None] != mb[:, k]
+    rows, columns = np.flatnonzero(ask.any(1)), np.flatnonzero(ask.any(0))
+    if not len(rows):
+        return rows, columns
+    common = _common([labelled(sa[k]) for k in rows], [labelled(sb[k]) for k in columns])
+    part = np.ix_(rows, columns)
+    i, j = np.nonzero(ask[part] & (common >= least[part]))
+    names = np.unique(np.concatenate([ca, cb]), return_inverse=True)[1]
+    at, to = names[: len(ca)], names[len(ca) :]
+    parent = list(range(len(names)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found = []
+    for x, y in zip(rows[i].tolist(), columns[j].tolist()):
+        p, q = root(at[x]), root(to[y])
+        if p != q and similar(sa[x], sb[y], threshold):
+            parent[p] = q
+            found.append((x, y))
+    both = np.array(found, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def bucket_components(bucket: DataFrame, marks: DataFrame, seqs: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE) -> DataFrame:
+    """(id, component) of the ids of bucket(id, sketch, sig): the components of all links between ids that share a sig.
+
+    marks(id, marks) has the first SKETCHES signatures of an id, seqs(id, seq) its shingles.
     """
-    rows = written(sketch(docs), "sketches")
-    classes = written(
-        rows.where("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "signatures")).alias("r")).select("digest", F.col("r.doc_id").alias("id"), F.col("r.signatures").alias("signatures")),
-        "text-classes",
-    )
-    entries = classes.select("id", F.posexplode("signatures").alias("sketch", "sig"))
-    shared = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
-    bucket = written(entries.join(shared, "sig"), "buckets")
-    seqs = written(_sequences(docs, bucket.select("id").distinct()), "sequences")
     component = bucket.select("id", F.col("id").alias("component")).distinct()
+
+    def still_open(members):
+        return members.join(members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("sig", "size"), "sig")
+
+    def merged(links):
+        joined = connected_components(links).select(F.col("id").alias("component"), F.col("component").alias("now"))
+        return written(component.join(joined, "component", "left").select("id", F.coalesce("now", "component").alias("component")), "components")
+
+    def between(links):
+        ends = component.select(F.col("id").alias("x"), F.col("component").alias("of"))
+        return links.join(ends.withColumnsRenamed({"x": "a", "of": "ca"}), "a").join(ends.withColumnsRenamed({"x": "b", "of": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+
     tested = None
     for turn in range(TURNS):
         members = bucket.where(F.col("sketch") < FIRST) if turn == 0 else bucket
         members = members.select("sig", "id").join(component, "id")
         if turn:
-            members = members.join(members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig"), "sig")
+            members = still_open(members)
         rank = [F.min(F.struct(F.xxhash64("id", "sig", F.lit(turn * PIVOTS + p)), "id", "component")).alias(f"p{p}") for p in range(PIVOTS)]
         chosen = F.array_distinct(F.array(*(F.struct(F.col(f"p{p}.id"), F.col(f"p{p}.component").alias("of")) for p in range(PIVOTS))))
         pivots = members.groupBy("sig").agg(*rank).select("sig", F.explode(chosen).alias("pivot")).select("sig", F.col("pivot.id").alias("pivot"), "pivot.of")
@@ -241,16 +304,37 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = _links(pairs, seqs, threshold)
-        if turn:
-            ends = component.select(F.col("id").alias("x"), F.col("component").alias("of"))
-            links = links.join(ends.withColumnsRenamed({"x": "a", "of": "ca"}), "a").join(ends.withColumnsRenamed({"x": "b", "of": "cb"}), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        links = written(links, "links")
+        links = written(between(links) if turn else links, "links")
         if links.isEmpty():
             if turn:
                 break
             continue
-        joined = connected_components(links).select(F.col("id").alias("component"), F.col("component").alias("now"))
-        component = written(component.join(joined, "component", "left").select("id", F.coalesce("now", "component").alias("component")), "components")
+        component = merged(links)
+    # What the pivots left: a bucket of two was tested by the first turn over all buckets, larger ones are compared in full.
+    rest = still_open(bucket.select("sig", F.least("sketch", F.lit(SKETCHES)).alias("sketch"), "id").join(component, "id")).where("size > 2")
+    rest = rest.join(marks, "id").join(seqs, "id").select("sketch", "sig", "id", F.lit(1).cast("long").alias("many"), F.struct("component", "marks", "seq").alias("payload"))
+    compared = tile_links(rest, ["sketch", "sig"], lambda key, a, b: cross_links(key[0], a, b, threshold), tile_rows)
+    links = written(between(compared.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))), "links")
+    return component if links.isEmpty() else merged(links)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, kept for every row of docs(doc_id, text): class_id is the smallest doc_id that links reach, kept marks it.
+
+    Null and empty texts are equal to each other. A null doc_id joins no class: class_id null, kept true. Rows of one doc_id are
+    one document (its smallest text is aligned). An empty table gives no rows; other columns are ignored.
+    """
+    rows = written(sketch(docs), "sketches")
+    classes = written(
+        rows.where("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "signatures")).alias("r")).select("digest", F.col("r.doc_id").alias("id"), F.col("r.signatures").alias("signatures")),
+        "text-classes",
+    )
+    entries = classes.select("id", F.posexplode("signatures").alias("sketch", "sig"))
+    shared = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
+    bucket = written(entries.join(shared, "sig"), "buckets")
+    seqs = written(_sequences(docs, bucket.select("id").distinct()), "sequences")
+    marks = classes.select("id", F.slice("signatures", 1, SKETCHES).alias("marks"))
+    component = bucket_components(bucket, marks, seqs, threshold)
     named = classes.join(component, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
     known = rows.where("doc_id is not null").select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
     lone = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
