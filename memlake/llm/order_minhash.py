@@ -2,6 +2,7 @@
 
 A text's k-mers are its five-word shingles, labelled by occurrence. Each sketch takes the `length` smallest of them under one
 hash and keeps their text order, so texts collide when they share k-mers in the same order (edit similarity), not just as a set.
+Sketches miss alike texts of few shingles, so those also collide by a prefix filter, which misses none.
 Equal texts are one class from the start. Texts that collide are first compared with pivots of their bucket, which joins most of a
 large group with few pairs; in the buckets whose texts have not become one component then, every pair of texts of different
 components is compared, by tiles. A candidate pair is a link when a banded alignment of the two shingle sequences finds matches m
@@ -30,6 +31,7 @@ SKETCHES, LENGTH = 28, 6
 FIRST = 7  # sketches of the first turn; it joins most of a large group with few pairs
 PIVOTS = 2
 TURNS = 4  # turns of pivots before the buckets still open are compared in full
+SHORT = 16  # a link with a text of fewer shingles is found for sure
 TILE = 256  # texts of one side of a comparison in full
 
 _tokens = re.compile(r"\w+").findall
@@ -123,6 +125,18 @@ def order_min_hash(s: np.ndarray, sketches: int = SKETCHES, length: int = LENGTH
     return out
 
 
+def prefix(s: np.ndarray, threshold: float = THRESHOLD) -> list[int]:
+    """Signatures of a text short enough to be alike one of under SHORT shingles: the first labelled shingles in the order of a hash.
+
+    Alike texts have at least threshold * n labelled shingles in common with either of n, so one is among the first n - ceil(threshold * n) + 1 of both.
+    """
+    n = len(s)
+    if not n or n > (SHORT - 1) / threshold + 1e-9:
+        return []
+    h = np.sort(mix((labelled(s) ^ np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0xD6E8FEB86659FD93)))
+    return h[: min(n, n - int(np.ceil(threshold * n - 1e-9)) + 1)].view(np.int64).tolist()
+
+
 def most_edits(na: int, nb: int, threshold: float) -> int:
     """Most insertions and deletions between sequences that reach the threshold."""
     least = int(np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9))
@@ -172,8 +186,8 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
     return banded_matches(a, b, edits) >= need
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest of the words, signatures) of each row of docs(doc_id, text)."""
+def sketch(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, digest of the words, signatures: of the sketches, then of the prefix of a short text) of each row of docs(doc_id, text)."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -187,7 +201,8 @@ def sketch(docs: DataFrame) -> DataFrame:
                 for t in part.column(1).to_pylist():
                     w = words_of(t)
                     digests.append(hashlib.md5("\x00".join(w).encode("utf-8", "surrogatepass")).digest())
-                    found.append(order_min_hash(shingles(w)))
+                    x = shingles(w)
+                    found.append(order_min_hash(x) + prefix(x, threshold))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "digest", "signatures"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, digest binary, signatures array<long>")
@@ -324,7 +339,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Null and empty texts are equal to each other. A null doc_id joins no class: class_id null, kept true. Rows of one doc_id are
     one document (its smallest text is aligned). An empty table gives no rows; other columns are ignored.
     """
-    rows = written(sketch(docs), "sketches")
+    rows = written(sketch(docs, threshold), "sketches")
     classes = written(
         rows.where("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "signatures")).alias("r")).select("digest", F.col("r.doc_id").alias("id"), F.col("r.signatures").alias("signatures")),
         "text-classes",

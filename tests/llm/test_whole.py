@@ -22,3 +22,18 @@ def test_alike_texts_in_a_bucket_that_a_hot_component_fills(spark):
     want = {k: 0 if k < 300 else k if k < 2000 else k - 1000 for k in texts}
     for rows in (256, 16):
         assert {x["id"]: x["component"] for x in bucket_components(bucket, marks, seqs, tile_rows=rows).collect()} == want
+
+
+def test_one_word_edits_of_short_texts(spark):
+    from memlake.llm.order_minhash import near_duplicates, shingles, similar, words_of
+
+    r = random.Random(22)
+    rows = []
+    for k in range(120):
+        w = [r.choice(WORDS) + str(r.randrange(10_000)) for _ in range(6 + k % 12)]
+        at = (0, len(w) // 2, len(w))[k // 12 % 3]
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(w[:at] + ["more"] + w[at:]))]
+    linked = {i: similar(shingles(words_of(t)), shingles(words_of(u))) for (i, t), (_, u) in zip(rows[::2], rows[1::2])}
+    assert sum(linked.values()) > 30 and not all(linked.values())
+    got = {x["doc_id"]: x["class_id"] for x in near_duplicates(docs(spark, rows)).collect()}
+    assert {i: got[i + 1] == i for i in linked} == linked
