@@ -158,9 +158,17 @@ def connected_components(spark, d):
     return graph.connected_components(e)
 
 
+def _clicks(spark, d) -> DataFrame:
+    return table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("id"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("entity"), "event_id")
+
+
 def shared_entities(spark, d):
-    c = table(spark, d, "events").where("event_type = 'click' AND event_id < 2000").select(F.col("user_id").alias("id"), F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("entity"))
-    return graph.shared_entity_edges(c)
+    """The links of the first clicks, as its SQL has it; shared_entities_all has those of all."""
+    return graph.shared_entity_edges(_clicks(spark, d).where("event_id < 2000"))
+
+
+def shared_entities_all(spark, d):
+    return graph.shared_entity_edges(_clicks(spark, d))
 
 
 def budget_pack(spark, d):
@@ -236,6 +244,6 @@ QUERIES = {
     for f in (
         bm25_topk, bm25_prefix_topk, vector_topk, rrf_fusion, hybrid_linear, hybrid_blend, normalize_per_kind, weighted_score, usefulness_boost, lexical_coverage, normalize_dedup, redact_secrets,
         redact_tally, token_estimate, tag_parser, accent_folding, document_frequency, conflict_scan, session_drift, confidence_ema, supersede_winner, latest_episode, bfs_two_hop, degree_centrality,
-        connected_components, shared_entities, budget_pack, mmr_rerank, context_bundle,
+        connected_components, shared_entities, shared_entities_all, budget_pack, mmr_rerank, context_bundle,
     )
 }
