@@ -109,9 +109,14 @@ def accent_folding(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.fold_accents(F.col("text"))).alias("folded_md5"))
 
 
-def document_frequency(spark, d):
+def document_frequency_all(spark, d):
     p = rank.postings(table(spark, d, "documents"))
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where("df >= 5")
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+def document_frequency(spark, d):
+    """The terms of five documents or more, as its SQL has it; document_frequency_all has every term."""
+    return document_frequency_all(spark, d).where("df >= 5")
 
 
 def conflict_scan(spark, d):
@@ -243,7 +248,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_prefix_topk, vector_topk, rrf_fusion, hybrid_linear, hybrid_blend, normalize_per_kind, weighted_score, usefulness_boost, lexical_coverage, normalize_dedup, redact_secrets,
-        redact_tally, token_estimate, tag_parser, accent_folding, document_frequency, conflict_scan, session_drift, confidence_ema, supersede_winner, latest_episode, bfs_two_hop, degree_centrality,
+        redact_tally, token_estimate, tag_parser, accent_folding, document_frequency, document_frequency_all, conflict_scan, session_drift, confidence_ema, supersede_winner, latest_episode, bfs_two_hop, degree_centrality,
         connected_components, shared_entities, shared_entities_all, budget_pack, mmr_rerank, context_bundle,
     )
 }

@@ -16,3 +16,9 @@ def test_shared_entities_of_all_clicks(spark, tmp_path):
     want = Counter(p for users in held.values() for p in combinations(sorted(users), 2))
     got = entry.queries()["shared_entities_all"](spark, str(tmp_path)).collect()
     assert {(x["src"], x["dst"]): x["shared"] for x in got} == {p: n for p, n in want.items() if n >= 2} and len(got) == 3
+
+
+def test_document_frequency_of_every_term(spark, tmp_path):
+    spark.createDataFrame([(1, "rare often often"), (2, "often"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["document_frequency_all"](spark, str(tmp_path)).collect()
+    assert {(x["term"], x["df"], x["cf"]) for x in got} == {("rare", 1, 1), ("often", 2, 3)}
