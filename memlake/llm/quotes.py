@@ -2,7 +2,7 @@
 
 A line's quote level is its number of leading > signs; neighbouring lines of one level are a passage. Quoted passages and the own lines,
 paragraphs and bodies of all messages are normalised and hashed; a passage links to the latest earlier message of its
-conversation that has its hash as own text. A message answers the message its first shallowest linked passage comes from, or
+conversation that has its hash as own text, or the hashes of its lines as a run of own lines (blank lines don't count). A message answers the message its first shallowest linked passage comes from, or
 else the one before it; conversations are laid out depth first along the answers, by turn among answers to one message.
 """
 
@@ -51,12 +51,16 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 
 
 def own_keys(own: str) -> set[int]:
-    """Hashes of a message's own body, paragraphs and lines."""
-    units = {own, *own.split("\n\n"), *own.split("\n")}
-    return {key(u) for u in units if normalise(u)}
+    """Hashes of a message's own body and paragraphs."""
+    return {key(u) for u in {own, *own.split("\n\n")} if normalise(u)}
 
 
-MESSAGE = "conv_id long, turn long, role string, row long, body string, asked array<struct<place:int,level:int,h:bigint>>, held array<long>"
+def line_keys(text: str) -> list[int]:
+    """Hashes of the lines with words, in order."""
+    return [key(u) for u in text.split("\n") if normalise(u)]
+
+
+MESSAGE = "conv_id long, turn long, role string, row long, body string, asked array<struct<place:int,level:int,h:bigint,lines:array<bigint>>>, held array<long>, lines array<long>"
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -69,17 +73,18 @@ def parsed(messages: DataFrame) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                body, asked, held, row = [], [], [], []
+                body, asked, held, lines, row = [], [], [], [], []
                 for t in part.column(3).to_pylist():
                     own, passages = parse(t)
                     body.append(own)
-                    asked.append([{"place": n, "level": level, "h": key(p)} for n, (level, p) in enumerate(passages)])
+                    asked.append([{"place": n, "level": level, "h": key(p), "lines": line_keys(p)} for n, (level, p) in enumerate(passages)])
                     held.append(sorted(own_keys(own)))
+                    lines.append(line_keys(own))
                     row.append(at)
                     at += 1
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(row, pa.int64()), pa.array(body, pa.string()), pa.array(asked, pa.list_(pa.struct([("place", pa.int32()), ("level", pa.int32()), ("h", pa.int64())]))), pa.array(held, pa.list_(pa.int64()))],
-                    ["conv_id", "turn", "role", "row", "body", "asked", "held"],
+                    [part.column(0), part.column(1), part.column(2), pa.array(row, pa.int64()), pa.array(body, pa.string()), pa.array(asked, pa.list_(pa.struct([("place", pa.int32()), ("level", pa.int32()), ("h", pa.int64()), ("lines", pa.list_(pa.int64()))]))), pa.array(held, pa.list_(pa.int64())), pa.array(lines, pa.list_(pa.int64()))],
+                    ["conv_id", "turn", "role", "row", "body", "asked", "held", "lines"],
                 )
 
     return written(messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(run, MESSAGE), "messages")
@@ -93,8 +98,13 @@ def link(messages: DataFrame) -> DataFrame:
     """
     rows = parsed(messages)
     asked = rows.select("conv_id", "turn", "row", F.explode("asked").alias("q")).select("conv_id", "turn", "row", "q.*").where("conv_id is not null")
-    held = asked.select("conv_id", "h").distinct().join(rows.select("conv_id", F.col("turn").alias("o_turn"), F.explode("held").alias("h")).distinct(), ["conv_id", "h"])
-    linked = asked.join(held, ["conv_id", "h"]).where("o_turn < turn").groupBy("row", "place", "level").agg(F.max("o_turn").alias("o_turn"))
+    held = asked.select("conv_id", "h").distinct().join(rows.select("conv_id", F.col("turn").alias("o_turn"), F.explode(F.concat("held", "lines")).alias("h")).distinct(), ["conv_id", "h"])
+    whole = asked.join(held, ["conv_id", "h"]).where("o_turn < turn").select("row", "place", "level", "o_turn")
+    sought = asked.where(F.size("lines") > 1).select("conv_id", "turn", "row", "place", "level", F.size("lines").alias("size"), F.posexplode("lines").alias("nth", "h"))
+    lines = rows.select("conv_id", F.col("turn").alias("o_turn"), F.col("row").alias("o_row"), F.posexplode("lines").alias("at", "h"))
+    shared = sought.join(lines, ["conv_id", "h"]).where("o_turn < turn")
+    runs = shared.groupBy("row", "place", "level", "size", "o_row", "o_turn", (F.col("at") - F.col("nth")).alias("start")).agg(F.count(F.lit(1)).alias("n")).where("n = size")
+    linked = whole.unionByName(runs.select("row", "place", "level", "o_turn")).groupBy("row", "place", "level").agg(F.max("o_turn").alias("o_turn"))
     by_row = linked.groupBy("row").agg(F.count(F.lit(1)).alias("n_linked"), F.min(F.struct("level", "place", "o_turn")).alias("first"))
     full = rows.join(by_row, "row", "left").select(
         "conv_id", "turn", "role", "body", F.size("asked").cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.col("first.o_turn").alias("answers")

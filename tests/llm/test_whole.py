@@ -37,3 +37,22 @@ def test_one_word_edits_of_short_texts(spark):
     assert sum(linked.values()) > 30 and not all(linked.values())
     got = {x["doc_id"]: x["class_id"] for x in near_duplicates(docs(spark, rows)).collect()}
     assert {i: got[i + 1] == i for i in linked} == linked
+
+
+def test_quotes_of_several_lines(spark):
+    from memlake.llm.quotes import link
+
+    texts = [
+        "one a\ntwo b\nthree c\nfour d\n\nfive e\n\nsix f\nseven g",
+        "other x\nother y",
+        "> two b\n> Three C!\nlines of a paragraph",
+        "> four d\n>\n> five e\nparts of paragraphs",
+        "> two b\n> four d\nnot a run",
+        "> > other x\n> > other y\n> lines of a paragraph\nnested",
+        "two b\nthree c\nagain",
+        "> two b\n> three c\nthe latest",
+    ]
+    got = link(spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")).collect()
+    by = {x["turn"]: x for x in got}
+    assert [by[k]["answers"] for k in range(8)] == [None, None, 0, 0, None, 2, None, 6]
+    assert [by[k]["n_linked"] for k in range(8)] == [0, 0, 1, 1, 0, 2, 0, 1]
