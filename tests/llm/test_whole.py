@@ -56,3 +56,23 @@ def test_quotes_of_several_lines(spark):
     by = {x["turn"]: x for x in got}
     assert [by[k]["answers"] for k in range(8)] == [None, None, 0, 0, None, 2, None, 6]
     assert [by[k]["n_linked"] for k in range(8)] == [0, 0, 1, 1, 0, 2, 0, 1]
+
+
+def test_fingerprints_of_edited_texts_are_near(spark):
+    from memlake.llm.simhash import fingerprints, hamming_classes
+
+    r = random.Random(23)
+    rows = []
+    for k in range(100):
+        w = [r.choice(WORDS) + str(r.randrange(10_000)) for _ in range((50, 100, 200, 500)[k % 4])]
+        near = list(w)
+        for at in r.sample(range(len(w)), len(w) // 50):
+            near[at] = f"changed{r.randrange(10_000)}"
+        rows += [(k, " ".join(w)), (1000 + k, " ".join(near))]
+    prints = {x["doc_id"]: x["fingerprint"] for x in fingerprints(docs(spark, rows)).collect()}
+    got = {x["fingerprint"]: (x["n_links"], x["component"]) for x in hamming_classes(spark.createDataFrame([(f,) for f in prints.values()], "fingerprint string"), tile_rows=16).collect()}
+    wide = {k: int(v, 16) for k, v in prints.items()}
+    for k, f in prints.items():
+        assert got[f][0] == sum((wide[k] ^ o).bit_count() <= 15 for o in wide.values()) - 1
+    assert sum(got[prints[k]][1] == got[prints[1000 + k]][1] for k in range(100)) >= 95
+    assert len({got[prints[k]][1] for k in range(100)}) == 100
