@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,7 +12,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_BYTES = 2 << 20  # of a batch between Spark and Python; batches of long texts would else be tens of MB on both sides
+
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "memlake", cpus: str = "*") -> SparkSession:
@@ -30,8 +35,10 @@ def build_session(app: str = "memlake", cpus: str = "*") -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by the Python workers of any cluster, once per application."""
+    """Make this package importable by the Python workers of any cluster, once per application, and keep their batches small."""
     sc = spark.sparkContext
+    if _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
@@ -45,13 +52,34 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def _bytes(text: str) -> int:
+    """Bytes of a setting such as 64m or 67108864b."""
+    number = text.lower().rstrip("b").rstrip("kmg")
+    unit = text.lower().rstrip("b")[len(number) :]
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share, under spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A fresh folder that driver and executors share, under spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster, whose executors could not see it, that is an error.
+    """
+    app = spark.sparkContext.applicationId
+    base = _folders.get(app) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="memlake-ck")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _folders[app] = tempfile.mkdtemp(prefix="memlake-ck")
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(app, []).append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written with `written`; DataFrames that read them end with it."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
