@@ -4,32 +4,37 @@ A count c becomes the level 1 + floor(log_BASE c), and an n-gram is inserted onc
 after level until one is missing gives the count back. The filter is made of shards, each filled by one task from the counts
 of its own n-grams, and goes to the workers by broadcast. The bigram model is
     P(w | h) = (1 - new_q) c(h, w) / c(h) + new_q P1(w),   P1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
-all counts from probes; new_q, the share of unseen continuations after histories of level q, is Good-Turing's
-count of singletons over the whole training text. Exact unigram counts serve the base score alone and the choice of q.
+all counts and the level q of the history from probes; new_q, the share of unseen continuations after histories of level q, is
+Good-Turing's count of singletons over the whole training text. Exact unigram counts serve the base score alone.
 
-Filter and counts grow with the corpus. A broadcast holds at most MAX_BROADCAST bytes; what is larger is
-cut into groups of shards that are broadcast one after another, each adding its answers to a written table.
+Filter and counts grow with the corpus. A broadcast holds at most MAX_BROADCAST bytes, in parts of FETCH bytes that pass through the
+driver one by one; what is larger is cut into groups of shards that are broadcast one after another, each adding its answers to a
+written table.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.chunk_bpe import keep_cache
-from memlake.llm.order_minhash import mix
+from memlake.llm.hashing import character, hash_spans, mix, runs, summed
+from memlake.llm.workers import keep_cache, task
 from memlake.session import ship, written
 
 BASE = 1.35
 HASHES = 5  # bits an entry sets, all in one 64-bit word
 ROOM = 10.5  # bits of the filter an entry has; a missing n-gram is taken for one seen once with a chance of some 3 %
 MAX_BROADCAST = 192_000_000
-FETCH = 16_000_000
+FETCH = 8_000_000
 SHARD_TEXT = 4_000_000  # bytes of text for each shard
 FLUSH = 1_000_000  # tokens counted at once in a task
 FOLDS, HELD = 5, 1
+TOP = 119  # level of the start of a text, above all levels of counts
 END, START = np.uint64(0x1D8AF6C1B5E0337F), np.uint64(0x5851F42D4C957F2D)
 
 
@@ -139,82 +144,91 @@ class Counts:
         """sizes: number of words of each shard; put() fills them in."""
         self.start = dict(zip(sorted(sizes), np.cumsum([0, *(sizes[s] for s in sorted(sizes))]).tolist()))
         n = sum(sizes.values())
-        self.key, self.count = np.zeros(n, np.uint64), np.zeros(n, np.uint32)
+        self.key, self.count, self.large = np.zeros(n, np.uint64), np.zeros(n, np.uint32), {}
 
     def put(self, shard: int, key, count) -> None:
-        at = self.start[shard]
-        self.key[at : at + len(key) // 8] = np.frombuffer(key, np.uint64)
-        self.count[at : at + len(count) // 4] = np.frombuffer(count, np.uint32)
+        at, n = self.start[shard], np.frombuffer(count, np.int64)
+        self.key[at : at + len(n)] = np.frombuffer(key, np.uint64)
+        self.count[at : at + len(n)] = np.minimum(n, 2**32 - 1)
+        for k in np.flatnonzero(n >= 2**32 - 1):  # at most one word in 2^32 tokens
+            self.large[at + int(k)] = int(n[k])
 
     def __call__(self, w: np.ndarray) -> np.ndarray:
         """Counts of word hashes."""
         if not len(self.key):
-            return np.zeros(len(w), np.uint32)
+            return np.zeros(len(w), np.int64)
         u = mix(w)
         at = np.minimum(np.searchsorted(self.key, u), len(self.key) - 1)
-        return np.where(self.key[at] == u, self.count[at], 0).astype(np.uint32)
+        out = np.where(self.key[at] == u, self.count[at], 0).astype(np.int64)
+        for k in np.flatnonzero(out == 2**32 - 1):
+            out[k] = self.large[int(at[k])]
+        return out
+
 
+_whole: dict = {}
+keep_cache("lexicon", _whole.clear)
 
-class Lexicon:
-    """Hash, exact count and probed level of the words met so far, by a number for each; what a word needs is worked out once."""
 
-    def __init__(self, counts=None, table=None, most: int = 200_000):
-        self.counts, self.table, self.most = counts, table, most
-        self.clear()
+class Shared:
+    """A Counts or Filter that is broadcast in parts and put together once a worker."""
 
-    def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.hash, self.count, self.level = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
-        self._add([b"\n"], [int(END)])  # no word is a line feed
+    def __init__(self, spark, kind, sizes: dict[int, int], shards: int, bytes_of, fetch):
+        """fetch(shards) gives their rows; bytes_of(size) the bytes of a shard."""
+        self.name, self.kind, self.sizes, self.shards = uuid.uuid4().hex, kind, sizes, shards
+        self.parts = []
+        for part in _groups([(s, bytes_of(n)) for s, n in sizes.items()], FETCH):
+            if part:
+                self.parts.append(spark.sparkContext.broadcast([tuple(r) for r in fetch(part)]))
 
-    def _add(self, words: list[bytes], hashes: list[int]) -> None:
-        n = len(self.number)
-        self.number.update(zip(words, range(n, n + len(words))))
-        h = np.array(hashes, np.uint64)
-        self.hash = np.concatenate([self.hash, h])
-        self.count = np.concatenate([self.count, self.counts(h) if self.counts is not None else np.zeros(len(h), np.uint32)])
-        self.level = np.concatenate([self.level, self.table.levels(mix(h)) if self.table is not None else np.zeros(len(h), np.uint8)])
+    @property
+    def value(self):
+        key = self.kind.__name__  # one of a kind in a worker
+        if key not in _whole or _whole[key][0] != self.name:
+            _whole.pop(key, None)
+            out = self.kind(self.sizes, self.shards)
+            for part in self.parts:
+                for row in part.value:
+                    out.put(*row)
+                vars(part).pop("_value", None)  # the worker keeps the whole alone
+            _whole[key] = self.name, out
+        return _whole[key][1]
 
-    def lay(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of the tokens of the texts laid end to end, places after each text)."""
-        import xxhash
+    def destroy(self) -> None:
+        for part in self.parts:
+            part.destroy()
 
-        split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        new = set().union(*split).difference(self.number)
-        if new and len(self.number) + len(new) > self.most:
-            self.clear()
-            new = set().union(*split).difference(self.number)
-        if new:
-            new = list(new)
-            self._add(new, [xxhash.xxh64_intdigest(w) for w in new])
-        get, numbers = self.number.__getitem__, []
-        for words in split:
-            numbers += map(get, words)
-            numbers.append(0)
-        return np.array(numbers, np.int64), np.cumsum([len(x) + 1 for x in split])
 
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For each byte its hash with A-Z lowered, and whether it belongs to a word."""
+    byte = np.arange(256)
+    low = np.where((byte >= 65) & (byte <= 90), byte + 32, byte)
+    return character(low.astype(np.uint64)), (byte != 32) & ((byte < 9) | (byte > 13))
 
-_lexicon = Lexicon()
-keep_cache("lexicon", _lexicon.clear)
 
+BYTE_HASH, IN_WORD = _letters()
 
-def _laid(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    at, ends = _lexicon.lay(texts)
-    return _lexicon.hash[at], ends
+
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the tokens of the texts laid end to end, places after each text): the words of each text, then one end."""
+    raw = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+    data = np.frombuffer(b" ".join(raw), np.uint8)
+    begins = np.cumsum([0, *(len(t) + 1 for t in raw)])
+    start, end = runs(IN_WORD[data])
+    word = hash_spans(summed(BYTE_HASH[data]), start, end)
+    text = np.searchsorted(begins, start, "right") - 1
+    out = np.full(len(word) + len(raw), END)
+    out[np.arange(len(word)) + text] = word
+    return out, np.cumsum(np.bincount(text, minlength=len(raw)) + 1)
 
 
 def _slices(batch: pa.RecordBatch, column: int, most: int = 500_000):
-    """Parts of a batch of about `most` characters of text, and their texts."""
+    """Parts of a batch of about `most` bytes of text; a longer text is a part of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
-        texts, size = [], 0
-        for t in batch.column(column).slice(at, 1000).to_pylist():
-            texts.append(t)
-            size += len(t or "")
-            if size > most:
-                break
-        yield batch.slice(at, len(texts)), texts
-        at += len(texts)
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def _blobs(key: np.ndarray, extra: list[np.ndarray], shards: int):
@@ -229,16 +243,16 @@ def _blobs(key: np.ndarray, extra: list[np.ndarray], shards: int):
 def _merged(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, their summed counts and the place of one of each."""
     u, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    return u, np.bincount(back, np.concatenate(counts), len(u)).astype(np.int64), first
+    out = np.zeros(len(u), np.int64)
+    np.add.at(out, back, np.concatenate(counts).astype(np.int64))
+    return u, out, first
 
 
 def _by_shard(df: DataFrame, shards: int, merge, schema: str) -> DataFrame:
     """merge(shard, rows) for the rows of each shard; shards hold a bounded share of the n-grams."""
 
+    @task("lexicon")
     def run(batches):
-        from memlake.llm.chunk_bpe import calm
-
-        calm("lexicon")
         now, held = None, []
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in range(b.num_columns))):
@@ -258,12 +272,10 @@ def _batch(names: list[str], kinds: list, rows: list) -> pa.RecordBatch:
 
 
 def count_unigrams(train: DataFrame, shards: int) -> DataFrame:
-    """(shard, key, count, tokens, words) of the texts of train, a row for each shard."""
+    """(shard, key, count, tokens, words) of the texts of train, a row for each shard; counts have 64 bits."""
 
+    @task("lexicon")
     def run(batches):
-        from memlake.llm.chunk_bpe import calm
-
-        calm("lexicon")
         held, size = [], 0
 
         def out():
@@ -271,8 +283,8 @@ def count_unigrams(train: DataFrame, shards: int) -> DataFrame:
             return _batch(["shard", "key", "count"], [pa.int32(), pa.binary(), pa.binary()], [(s, k, x[0]) for s, k, x in _blobs(u, [n.astype(np.uint32)], shards)])
 
         for b in batches:
-            for _, texts in _slices(b, 0):
-                w, _ = _laid(texts)
+            for part in _slices(b, 0):
+                w, _ = tokens(part.column(0))
                 held.append(w)
                 size += len(w)
                 if size > FLUSH:
@@ -280,26 +292,37 @@ def count_unigrams(train: DataFrame, shards: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield out()
-        _lexicon.clear()  # an idle worker holds no words
 
     def merge(shard, rows):
         u, n, _ = _merged([np.frombuffer(r[0], np.uint64) for r in rows], [np.frombuffer(r[1], np.uint32) for r in rows])
-        return _batch(["shard", "key", "count", "tokens", "words"], [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()], [(shard, u.tobytes(), np.minimum(n, 2**32 - 1).astype(np.uint32).tobytes(), int(n.sum()), len(u))])
+        return _batch(["shard", "key", "count", "tokens", "words"], [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()], [(shard, u.tobytes(), n.tobytes(), int(n.sum()), len(u))])
 
     return _by_shard(train.select("text").mapInArrow(run, "shard int, key binary, count binary"), shards, merge, "shard int, key binary, count binary, tokens long, words long")
 
 
+def _asked(w: np.ndarray, *answers) -> list[np.ndarray]:
+    """Answers for each token, worked out once for each distinct one."""
+    u, back = np.unique(w, return_inverse=True)
+    return [a(u)[back] for a in answers]
+
+
+def before(levels: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Level of each token's history; the start of a text is a level of its own."""
+    out = np.zeros(len(levels), np.int64)
+    out[1:] = levels[:-1]
+    out[:1] = TOP
+    out[ends[:-1]] = TOP
+    return out
+
+
 def count_bigrams(train: DataFrame, unigrams: DataFrame, counts, shards: int) -> DataFrame:
     """(shard, filter, single, total) of train(text, known): the shard's filter of bigrams and unigrams, and tokens by level of the history: of bigrams met once, of all. known holds the tokens' exact counts where counts is None."""
     names, kinds = ["shard", "key", "level", "count"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
+    @task("lexicon")
     def run(batches):
-        from memlake.llm.chunk_bpe import calm
-
-        calm("lexicon")
         held: list = []
         size = 0
-        words = Lexicon(counts.value if counts is not None else None)
 
         def out():
             key = np.concatenate([x[0] for x in held])
@@ -308,15 +331,10 @@ def count_bigrams(train: DataFrame, unigrams: DataFrame, counts, shards: int) ->
             return _batch(names, kinds, [(s, k, x[0], x[1]) for s, k, x in _blobs(u, [level, n.astype(np.uint32)], shards)])
 
         for b in batches:
-            for part, texts in _slices(b, 0):
-                at, ends = words.lay(texts)
-                w = words.hash[at]
-                c = words.count[at] if counts is not None else np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32)
-                _, key = bigrams(w, ends)
-                before = np.zeros(len(w), np.uint8)
-                before[1:] = level_of(c[:-1])
-                before[0] = before[ends[:-1]] = 119  # the start of a text, a level of its own
-                held.append((key, before))
+            for part in _slices(b, 0):
+                w, ends = tokens(part.column(0))
+                c = _asked(w, counts.value)[0] if counts is not None else np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64)
+                held.append((bigrams(w, ends)[1], before(level_of(c), ends).astype(np.uint8)))
                 size += len(w)
                 if size > FLUSH:
                     yield out()
@@ -331,9 +349,9 @@ def count_bigrams(train: DataFrame, unigrams: DataFrame, counts, shards: int) ->
         if rows:
             u, n, first = _merged([np.frombuffer(r[0], np.uint64) for r in rows], [np.frombuffer(r[2], np.uint32) for r in rows])
             q = np.concatenate([np.frombuffer(r[1], np.uint8) for r in rows])[first]
-        single, total = np.bincount(q[n == 1], minlength=120), np.bincount(q, n, 120).astype(np.int64)
+        single, total = np.bincount(q[n == 1], minlength=TOP + 1), np.bincount(q, n, TOP + 1).astype(np.int64)
         u = np.concatenate([u, *(np.frombuffer(r[0], np.uint64) for r in words)])
-        n = np.concatenate([n, *(np.frombuffer(r[2], np.uint32) for r in words)]).astype(np.int64)
+        n = np.concatenate([n, *(np.frombuffer(r[2], np.int64) for r in words)])
         return _batch(["shard", "filter", "single", "total"], [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())], [(shard, build_filter(u, level_of(n)), single.tolist(), total.tolist())])
 
     pairs = train.select("text", "known").mapInArrow(run, "shard int, key binary, level binary, count binary")
@@ -356,118 +374,124 @@ def _groups(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
 def _filled(docs: DataFrame, column: str, answer) -> DataFrame:
     """docs with the binary column added to by answer(texts) -> (bytes a text), position by position as numbers of type."""
     names = docs.columns
-    at, kind = names.index(column), np.uint32 if column == "known" else np.uint8
+    at, kind = names.index(column), np.int64 if column == "known" else np.uint8
 
+    @task("lexicon")
     def run(batches):
         for b in batches:
-            for part, texts in _slices(b, names.index("text")):
-                got = [(np.frombuffer(x, kind) + new).tobytes() if x else new.tobytes() for x, new in zip(part.column(at).to_pylist(), answer(texts))]
+            for part in _slices(b, names.index("text")):
+                got = [(np.frombuffer(x, kind) + new).tobytes() if x else new.tobytes() for x, new in zip(part.column(at).to_pylist(), answer(part.column(names.index("text"))))]
                 yield pa.RecordBatch.from_arrays([part.column(k) if k != at else pa.array(got, pa.binary()) for k in range(len(names))], names)
 
     return written(docs.mapInArrow(run, docs.schema), "lm-round")
 
 
+class Smoothing:
+    """Probabilities from levels: N, V, and by the history's level the share of unseen continuations; start is the number of texts."""
+
+    def __init__(self, total: int, distinct: int, single: np.ndarray, every: np.ndarray):
+        self.room = total + 0.5 * (distinct + 1)
+        self.new = np.clip((single + 1.0) / (every + 2.0), 0.001, 0.999)
+        self.start = float(max(1, every[TOP]))
+        self.value = level_values(TOP + 1)
+
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return np.log10((count + 0.5) / self.room)
+
+    def probability(self, level: np.ndarray, past: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """P of tokens from their own level, their history's (TOP: the start of a text) and the bigram's."""
+        history = np.where(past == TOP, self.start, self.value[past])
+        fresh = np.where(past > 0, self.new[past], 1.0)
+        return (1 - fresh) * np.minimum(1.0, self.value[pair] / np.maximum(history, 1)) + fresh * (self.value[level] + 0.5) / self.room
+
+
 def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs(doc_id, text).
 
     Rows whose crc32(doc_id as text) mod 5 is 1 don't teach. A null text is empty and has one token, the end; a null doc_id is not held out;
-    repeated rows teach and are scored each. An empty table gives no rows; other columns are ignored.
+    repeated rows teach and are scored each. An empty table gives no rows; other columns are ignored. The result is a written table.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD, F.lit(False)).alias("held_out"), F.lit(None).cast("binary").alias("known"), F.lit(None).cast("binary").alias("levels"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(16, -(-size // SHARD_TEXT))
+    shipped: list[Shared] = []
+
+    def shared(df, kind, count, bytes_of, columns, group, groups):
+        part = df.where(F.floor(F.col("shard") * groups / shards) == group)
+        sizes = {r["shard"]: r["size"] for r in part.select("shard", F.expr(count).cast("long").alias("size")).collect()}  # the shards of max_broadcast bytes
+        shipped.append(Shared(spark, kind, sizes, shards, bytes_of, lambda some: part.where(F.col("shard").isin(some)).select(*columns).collect()))
+        return shipped[-1]
+
     unigrams = written(count_unigrams(rows.where(~F.col("held_out")), shards), "unigrams")
-    about = unigrams.select("shard", F.octet_length("key").alias("bytes"), "tokens", "words").collect()  # a row for each shard
-    total, distinct = sum(r["tokens"] for r in about), sum(r["words"] for r in about)
-
-    def counts_of(group):  # at most max_broadcast bytes, fetched in smaller parts
-        sizes = {r["shard"]: r["words"] for r in about if r["shard"] in set(group)}
-        out = Counts(sizes, shards)
-        for part in _groups([(k, 12 * n) for k, n in sizes.items()], FETCH):
-            for r in unigrams.where(F.col("shard").isin(part)).select("shard", "key", "count").collect() if part else []:
-                out.put(*r)
-        return spark.sparkContext.broadcast(out)
-
-    groups = _groups([(r["shard"], r["bytes"] * 3 // 2) for r in about], max_broadcast)
-    if len(groups) == 1:
-        counts = counts_of(groups[0])
+    about = unigrams.agg(F.sum("tokens"), F.sum("words")).first()
+    total, distinct = about[0] or 0, about[1] or 0
+    groups = max(1, -(-distinct * 12 // max_broadcast))
+    words_of = lambda g: shared(unigrams, Counts, "words", lambda n: 16 * n, ("shard", "key", "count"), g, groups)
+    if groups == 1:
+        counts = words_of(0)
     else:
         counts = None
-        for g in groups:
-            part = counts_of(g)
+        for g in range(groups):
+            held = words_of(g)
 
-            def answer(texts, part=part):
-                w, ends = _laid(texts)
-                return np.split(part.value(w), ends[:-1])
+            def answer(texts, held=held):
+                w, ends = tokens(texts)
+                return np.split(_asked(w, held.value)[0], ends[:-1])
 
             rows = _filled(rows, "known", answer)
+            shipped.pop().destroy()
     grams = written(count_bigrams(rows.where(~F.col("held_out")), unigrams, counts, shards), "bigrams")
-    sums = grams.select("shard", F.octet_length("filter").alias("bytes"), "single", "total").collect()
-    single, every = (np.sum([r[c] for r in sums], axis=0) if sums else np.zeros(120) for c in ("single", "total"))
-    new = np.clip((single + 1.0) / (every + 2.0), 0.001, 0.999)
-
-    def filter_of(group):
-        sizes = {r["shard"]: r["bytes"] for r in sums if r["shard"] in set(group)}
-        out = Filter(sizes, shards)
-        for part in _groups(list(sizes.items()), FETCH):
-            for r in grams.where(F.col("shard").isin(part)).select("shard", "filter").collect() if part else []:
-                out.put(*r)
-        return spark.sparkContext.broadcast(out)
-
-    groups = _groups([(r["shard"], r["bytes"]) for r in sums], max_broadcast)
-    if len(groups) == 1:
-        table = filter_of(groups[0])
+    sums = grams.select(F.posexplode(F.arrays_zip("single", "total")).alias("q", "x")).groupBy("q").agg(F.sum("x.single"), F.sum("x.total")).collect()  # a row for each level
+    single, every = np.zeros(TOP + 1), np.zeros(TOP + 1)
+    for q, a, b in sums:
+        single[q], every[q] = a, b
+    model = Smoothing(total, distinct, single, every)
+    filters = grams.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
+    groups = max(1, -(-filters // max_broadcast))
+    filter_of = lambda g: shared(grams, Filter, "octet_length(filter)", lambda n: n, ("shard", "filter"), g, groups)
+    if groups == 1:
+        table = filter_of(0)
     else:
         table = None
-        for g in groups:
-            part = filter_of(g)
+        for g in range(groups):
+            held = filter_of(g)
 
-            def answer(texts, part=part):
-                w, ends = _laid(texts)
-                two = part.value.levels(bigrams(w, ends)[1]), part.value.levels(mix(w))
+            def answer(texts, held=held):
+                w, ends = tokens(texts)
+                two = held.value.levels(bigrams(w, ends)[1]), held.value.levels(mix(w))
                 return [np.concatenate(x) for x in zip(*(np.split(y, ends[:-1]) for y in two))]
 
             rows = _filled(rows, "levels", answer)
-    value = level_values()
-    start = float(max(1, sum(every[119:120])))
+            shipped.pop().destroy()
 
+    @task("lexicon")
     def run(batches):
-        from memlake.llm.chunk_bpe import calm
-
-        calm("lexicon")
-        words = Lexicon(counts.value if counts is not None else None, table.value if table is not None else None)
         for b in batches:
-            for part, texts in _slices(b, 1):
-                number, ends = words.lay(texts)
-                w = words.hash[number]
-                c = words.count[number] if counts is not None else np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint32)
-                base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-                class_ = np.where(c > 0, level_of(c), 0)
-                before = np.zeros(len(w), np.int64)
-                before[1:] = class_[:-1]
-                before[0] = before[ends[:-1]] = 119
+            for part in _slices(b, 1):
+                w, ends = tokens(part.column(1))
+                if counts is not None:
+                    (c,) = _asked(w, counts.value)
+                else:
+                    c = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64)
                 if table is not None:
-                    asked = np.flatnonzero((c > 0) & (before > 0))
-                    pair = np.zeros(len(w), np.uint8)
-                    pair[asked] = table.value.levels(bigrams(w, ends)[1][asked])
-                    level = words.level[number]
+                    (level,) = _asked(w, lambda u: table.value.levels(mix(u)))
                 else:
                     both = [np.frombuffer(x, np.uint8) for x in part.column(4).to_pylist()]
-                    pair = np.where((c > 0) & (before > 0), np.concatenate([x[: len(x) // 2] for x in both]), 0)
-                    level = np.concatenate([x[len(x) // 2 :] for x in both])
-                level = np.where(c > 0, level, 0)
-                last = np.zeros(len(w), np.int64)
-                last[1:] = level[:-1]
-                history = np.where(before == 119, start, value[last])
-                one = (value[level] + 0.5) / (total + 0.5 * (distinct + 1))
-                fresh = np.where(before > 0, new[before], 1.0)
-                p = (1 - fresh) * np.minimum(1.0, value[pair] / np.maximum(history, 1)) + fresh * one
+                    pairs, level = np.concatenate([x[: len(x) // 2] for x in both]), np.concatenate([x[len(x) // 2 :] for x in both])
+                past = before(level, ends)
+                known = (level > 0) & (past > 0)
+                pair = np.zeros(len(w), np.uint8)
+                pair[known] = table.value.levels(bigrams(w, ends)[1][known]) if table is not None else pairs[known]
+                p = model.probability(level, past, pair)
                 begin = np.append(0, ends[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(ends - begin), pa.array(np.add.reduceat((c > 0).astype(np.int64), begin)), pa.array(np.full(len(ends), total, np.int64)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(np.log10(p), begin))],
+                    [part.column(0), part.column(2), pa.array(ends - begin), pa.array(np.add.reduceat((c > 0).astype(np.int64), begin)), pa.array(np.full(len(ends), total, np.int64)), pa.array(np.add.reduceat(model.base(c), begin)), pa.array(np.add.reduceat(np.log10(p), begin))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return rows.select("doc_id", "text", "held_out", "known", "levels").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = written(rows.select("doc_id", "text", "held_out", "known", "levels").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
+    for held in shipped:
+        held.destroy()
+    return out

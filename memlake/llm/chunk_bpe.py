@@ -7,31 +7,15 @@ double or trailing spaces or a special token's string go to the library whole.
 
 from __future__ import annotations
 
-import gc
 import json
 from array import array
 from collections import Counter
 
 import numpy as np
 
-_open: dict[str, ChunkBpe] = {}
-
-
-_caches: dict = {}
-
+from memlake.llm.workers import calm, keep_cache
 
-def keep_cache(owner: str, clear) -> None:
-    """Names a cache of this worker process and the way to empty it."""
-    _caches[owner] = clear
-
-
-def calm(owner: str) -> None:
-    """For a task of an operator: empties the caches that other operators have left in this worker process, and lets Python's cycle
-    collector run rarely, which would walk the large caches, which hold no cycles, again and again."""
-    for name, clear in _caches.items():
-        if name != owner:
-            clear()
-    gc.set_threshold(200_000, 50, 100)
+_open: dict[str, ChunkBpe] = {}
 
 
 def letters() -> dict[int, str]:

@@ -12,16 +12,16 @@ with m / (n_a + n_b - m) >= threshold.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.chunk_bpe import keep_cache
+from memlake.llm.hashing import mix, slices, word_hashes
 from memlake.llm.tiles import tile_links
+from memlake.llm.workers import task
 from memlake.operators.graph import connected_components
 from memlake.session import ship, written
 
@@ -33,57 +33,19 @@ PIVOTS = 2
 TURNS = 4  # turns of pivots before the buckets still open are compared in full
 SHORT = 16  # a link with a text of fewer shingles is found for sure
 TILE = 256  # texts of one side of a comparison in full
+SALT = 1000  # members of a bucket that one task joins with its pivots
 
-_tokens = re.compile(r"\w+").findall
 _MASK = (1 << 64) - 1
 
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-case words; a text without any has its space-separated strings."""
-    low = (text or "").lower()
-    return _tokens(low) or low.split()
-
-
-class Hasher:
-    """64-bit word hashes, kept for the words met so far."""
-
-    def __init__(self, most: int = 500_000):
-        self.known: dict[str, int] = {}
-        self.most = most
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        import xxhash
-
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for w in set(words).difference(known):
-                known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-_hasher = Hasher()
-keep_cache("words", _hasher.known.clear)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (wraps on purpose)."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ (x >> np.uint64(29))
-
-
-def shingles(words: list[str]) -> np.ndarray:
-    """Hashes of the shingles in text order; a text of fewer words is one shingle, an empty one has none."""
-    h = _hasher(words)
-    if len(h) == 0:
-        return h
-    n = max(1, len(h) - WORDS + 1)
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of a text's word hashes, in order; a text of fewer words is one shingle, an empty one has none."""
+    if len(words) == 0:
+        return words
+    n = max(1, len(words) - WORDS + 1)
     out = np.zeros(n, np.uint64)
-    for k in range(min(WORDS, len(h))):
-        out = mix(out + h[k : k + n] + np.uint64(k + 1))
+    for k in range(min(WORDS, len(words))):
+        out = mix(out + words[k : k + n] + np.uint64(k + 1))
     return out
 
 
@@ -187,38 +149,56 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
 
 
 def sketch(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, digest of the words, signatures: of the sketches, then of the prefix of a short text) of each row of docs(doc_id, text)."""
+    """(doc_id, row_key, digest, signatures) of each row of docs(doc_id, text).
+
+    row_key is a hash of the text as it is, digest one of its words; the signatures are those of the sketches, then of the prefix of a short text.
+    """
     ship(docs.sparkSession)
 
+    @task("shingles")
     def run(batches):
-        from memlake.llm.chunk_bpe import calm
-
-        calm("words")
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for part, texts in slices(b, 2):
                 digests, found = [], []
-                for t in part.column(1).to_pylist():
-                    w = words_of(t)
-                    digests.append(hashlib.md5("\x00".join(w).encode("utf-8", "surrogatepass")).digest())
-                    x = shingles(w)
+                for words in word_hashes(texts):
+                    digests.append(hashlib.md5(words.tobytes()).digest())
+                    x = shingles(words)
                     found.append(order_min_hash(x) + prefix(x, threshold))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "digest", "signatures"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "row_key", "digest", "signatures"])
+
+    return _rows(docs).mapInArrow(run, "doc_id long, row_key long, digest binary, signatures array<long>")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(text).alias("row_key"), text.alias("text"))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, digest binary, signatures array<long>")
 
+def row_key(text):
+    """Tells apart the texts of rows that share a doc_id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-def _sequences(docs: DataFrame, ids: DataFrame) -> DataFrame:
+
+def _sequences(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, seq) of members(id, doc_id, row_key): the shingles of the text of a class. A row that docs repeats comes once."""
+
+    @task("shingles")
     def run(batches):
+        last = None  # rows of one id are neighbours
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(words_of(t)).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["id", "seq"])
+            for part, texts in slices(b, 1):
+                ids = part.column(0).to_pylist()
+                new = [k for k, i in enumerate(ids) if i != (ids[k - 1] if k else last)]
+                last = ids[-1]
+                words = word_hashes([texts[k] for k in new])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in new], pa.int64()), pa.array([shingles(w).tobytes() for w in words], pa.binary())], ["id", "seq"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).mapInArrow(run, "id long, seq binary")
+    found = _rows(docs).join(members.hint("shuffle_merge"), ["doc_id", "row_key"])
+    return found.select("id", "text").mapInArrow(run, "id long, seq binary")
 
 
 def _links(pairs: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    @task("shingles")
     def run(batches):
         for b in batches:
             a, z = b.column(0), b.column(1)
@@ -289,14 +269,21 @@ def cross_links(sketch: int, a: pa.StructArray, b: pa.StructArray | None, thresh
 
 
 def bucket_components(bucket: DataFrame, marks: DataFrame, seqs: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE) -> DataFrame:
-    """(id, component) of the ids of bucket(id, sketch, sig): the components of all links between ids that share a sig.
+    """(id, component) of the ids of bucket(id, sketch, sig, salts): the components of all links between ids that share a sig.
 
-    marks(id, marks) has the first SKETCHES signatures of an id, seqs(id, seq) its shingles.
+    marks(id, marks) has the first SKETCHES signatures of an id, seqs(id, seq) its shingles; salts is the number of parts in which a sig's
+    members are joined, so that a bucket of any size spreads over the cluster.
     """
     component = bucket.select("id", F.col("id").alias("component")).distinct()
+    bucket = bucket.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+
+    def about(members, *aggregates):
+        """A row a sig and salt with the aggregates of the whole sig."""
+        return members.groupBy("sig", "salts").agg(*aggregates).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def still_open(members):
-        return members.join(members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("sig", "size"), "sig")
+        ends = about(members, F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"))
+        return members.join(ends.where("lo < hi").drop("lo", "hi"), ["sig", "salt"])
 
     def merged(links):
         joined = connected_components(links).select(F.col("id").alias("component"), F.col("component").alias("now"))
@@ -308,49 +295,71 @@ def bucket_components(bucket: DataFrame, marks: DataFrame, seqs: DataFrame, thre
 
     tested = None
     for turn in range(TURNS):
-        members = bucket.where(F.col("sketch") < FIRST) if turn == 0 else bucket
-        members = members.select("sig", "id").join(component, "id")
+        members = (bucket.where(F.col("sketch") < FIRST) if turn == 0 else bucket).select("sig", "salts", "salt", "id").join(component, "id")
         if turn:
             members = still_open(members)
         rank = [F.min(F.struct(F.xxhash64("id", "sig", F.lit(turn * PIVOTS + p)), "id", "component")).alias(f"p{p}") for p in range(PIVOTS)]
         chosen = F.array_distinct(F.array(*(F.struct(F.col(f"p{p}.id"), F.col(f"p{p}.component").alias("of")) for p in range(PIVOTS))))
-        pivots = members.groupBy("sig").agg(*rank).select("sig", F.explode(chosen).alias("pivot")).select("sig", F.col("pivot.id").alias("pivot"), "pivot.of")
-        pairs = members.join(pivots, "sig").where("component <> of").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        pivots = about(members, *rank).select("sig", "salt", F.explode(chosen).alias("pivot")).select("sig", "salt", F.col("pivot.id").alias("pivot"), "pivot.of")
+        pairs = members.join(pivots, ["sig", "salt"]).where("component <> of").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = _links(pairs, seqs, threshold)
         links = written(between(links) if turn else links, "links")
         if links.isEmpty():
             if turn:
-                break
+                break  # the pivots find no more; all that is open is compared in full below
             continue
         component = merged(links)
     # What the pivots left: a bucket of two was tested by the first turn over all buckets, larger ones are compared in full.
-    rest = still_open(bucket.select("sig", F.least("sketch", F.lit(SKETCHES)).alias("sketch"), "id").join(component, "id")).where("size > 2")
+    rest = still_open(bucket.select("sig", "salts", "salt", F.least("sketch", F.lit(SKETCHES)).alias("sketch"), "id").join(component, "id")).where("size > 2")
     rest = rest.join(marks, "id").join(seqs, "id").select("sketch", "sig", "id", F.lit(1).cast("long").alias("many"), F.struct("component", "marks", "seq").alias("payload"))
     compared = tile_links(rest, ["sketch", "sig"], lambda key, a, b: cross_links(key[0], a, b, threshold), tile_rows)
     links = written(between(compared.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))), "links")
     return component if links.isEmpty() else merged(links)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, kept for every row of docs(doc_id, text): class_id is the smallest doc_id that links reach, kept marks it.
-
-    Null and empty texts are equal to each other. A null doc_id joins no class: class_id null, kept true. Rows of one doc_id are
-    one document (its smallest text is aligned). An empty table gives no rows; other columns are ignored.
-    """
+def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, row_key, class_id) of every row of docs(doc_id, text); see near_duplicates. row_key is row_key(text)."""
     rows = written(sketch(docs, threshold), "sketches")
+    known = rows.where("doc_id is not null").withColumn("id", F.xxhash64("digest"))
     classes = written(
-        rows.where("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "signatures")).alias("r")).select("digest", F.col("r.doc_id").alias("id"), F.col("r.signatures").alias("signatures")),
+        known.groupBy("id").agg(F.min(F.struct("doc_id", "row_key", "signatures")).alias("r")).select("id", "r.doc_id", "r.row_key", "r.signatures"),
         "text-classes",
     )
     entries = classes.select("id", F.posexplode("signatures").alias("sketch", "sig"))
-    shared = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
+    shared = entries.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig", F.ceil(F.col("n") / SALT).cast("int").alias("salts"))
     bucket = written(entries.join(shared, "sig"), "buckets")
-    seqs = written(_sequences(docs, bucket.select("id").distinct()), "sequences")
+    seqs = written(_sequences(docs, classes.join(bucket.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "row_key")), "sequences")
     marks = classes.select("id", F.slice("signatures", 1, SKETCHES).alias("marks"))
     component = bucket_components(bucket, marks, seqs, threshold)
-    named = classes.join(component, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
-    known = rows.where("doc_id is not null").select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
-    lone = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))
-    return known.unionByName(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    joined = classes.select("id", "doc_id").join(component, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
+    least = joined.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    named = known.select("doc_id", "row_key", "id").join(joined.join(least, "component").select("id", "class_id"), "id").select("doc_id", "row_key", "class_id")
+    lone = rows.where("doc_id is null").select("doc_id", "row_key", F.lit(None).cast("long").alias("class_id"))
+    return named.unionByName(lone)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, kept for every row of docs(doc_id, text): class_id is the smallest doc_id that links reach, kept marks it.
+
+    Null and empty texts are equal to each other. A null doc_id joins no class: class_id null, kept true. Rows that share a doc_id are
+    judged each by its own text, so they may be of different classes. An empty table gives no rows; other columns are ignored.
+    """
+    return classify(docs, threshold).select("doc_id", "class_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row of docs for each class, with all its columns: a row of the smallest doc_id; of rows that repeat doc_id and class the first by row_key, then by a hash of their other columns.
+
+    Rows with a null doc_id stay. An empty table gives no rows.
+    """
+    first = classify(docs, threshold).where("class_id is not null").groupBy("class_id").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select(F.col("r.doc_id").alias("of"), F.col("r.row_key").alias("key"))
+    columns = docs.columns
+    fit = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)))
+    whole = docs.select(fit.alias("row"), F.col("doc_id").cast("long").alias("of"), row_key(F.col("text").cast("string")).alias("key"))
+    kept = whole.join(first, ["of", "key"], "left_semi")
+    plain = [f"row.c{k}" for k, f in enumerate(docs.schema.fields) if "map<" not in f.dataType.simpleString()]
+    nth = F.row_number().over(Window.partitionBy("of", "key").orderBy(F.xxhash64(*plain)))
+    one = kept.withColumn("nth", nth).where("nth = 1").select("row")
+    return one.unionByName(whole.where("of is null").select("row")).select(*(F.col(f"row.c{k}").alias(c) for k, c in enumerate(columns)))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.llm.workers import task
 from memlake.session import ship, written
 
 CAPACITY = 2048
@@ -31,6 +32,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
     """
     ship(docs.sparkSession)
 
+    @task("chunks")
     def run(batches):
         from pyspark import TaskContext
 

@@ -17,7 +17,8 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from memlake.llm.chunk_bpe import calm, keep_cache, letters
+from memlake.llm.chunk_bpe import letters
+from memlake.llm.workers import keep_cache, task
 from memlake.session import ship
 
 #: White space of the vocabulary's regular expressions (fixed values).
@@ -198,11 +199,14 @@ class PairIndexBpe:
 
 
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, ids (binary), decoded (string) of each row; a null text is empty, repeated rows are done each, other columns are ignored."""
+    """doc_id, ids (binary), decoded (string) of each row; a null text is empty, a null doc_id stays null, repeated rows are done each.
+
+    An empty table gives no rows; other columns are ignored. Texts go through in batches of a bounded size, a long one alone.
+    """
     ship(docs.sparkSession)
 
+    @task("pairs")
     def run(batches):
-        calm("pairs")
         bpe = shared(tokenizer)
         for b in batches:
             at = 0

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.llm.workers import task
 from memlake.session import ship
 
 
@@ -31,6 +32,17 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low = new
 
 
+def link_parts(ids: np.ndarray, many: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """(id, links, root) of the ends of the links between places i and j: number of `many` linked and the smallest id of the component here."""
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    links = np.bincount(i, many[j], len(ids)) + np.bincount(j, many[i], len(ids))
+    low = ids[order][roots(len(ids), place[i], place[j])][place]
+    on = np.flatnonzero(links)
+    return pa.RecordBatch.from_arrays([pa.array(ids[on], pa.int64()), pa.array(links[on].astype(np.int64)), pa.array(low[on], pa.int64())], ["id", "links", "root"])
+
+
 def tile_links(rows: DataFrame, keys: list[str], compare: Callable, tile_rows: int = 2048) -> DataFrame:
     """(id, links, root) parts from rows(keys..., id, many, payload), ids distinct within a key.
 
@@ -51,6 +63,7 @@ def tile_links(rows: DataFrame, keys: list[str], compare: Callable, tile_rows: i
     work = left.join(right, on).select(*keys, "left_items", "right_items", (F.col("tile") == F.col("other")).alias("same")).unionByName(alone)
     width = len(keys)
 
+    @task("tiles")
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
@@ -65,12 +78,6 @@ def tile_links(rows: DataFrame, keys: list[str], compare: Callable, tile_rows: i
                 if not same:
                     j = j + len(ids)
                     ids, many = np.concatenate([ids, z.field("id").to_numpy(zero_copy_only=False)]), np.concatenate([many, z.field("many").to_numpy(zero_copy_only=False)])
-                order = np.argsort(ids, kind="stable")
-                place = np.empty(len(ids), np.int64)
-                place[order] = np.arange(len(ids))
-                links = np.bincount(i, many[j], len(ids)) + np.bincount(j, many[i], len(ids))
-                low = ids[order][roots(len(ids), place[i], place[j])][place]
-                on_ = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[on_], pa.int64()), pa.array(links[on_].astype(np.int64)), pa.array(low[on_], pa.int64())], ["id", "links", "root"])
+                yield link_parts(ids, many, i, j)
 
     return work.mapInArrow(run, "id long, links long, root long")

@@ -138,13 +138,14 @@ def test_near_duplicates_group_copies_and_leave_others(spark):
 
 
 def test_fingerprints_and_radius(spark):
-    from memlake.llm.simhash import _voter, edited, fingerprints, hamming_classes
+    from memlake.llm.hashing import word_hashes
+    from memlake.llm.simhash import edited, fingerprint, fingerprints, hamming_classes
 
     r = random.Random(6)
     rows = [(k, prose(r, r.randrange(1, 60))) for k in range(60)] + [(70, None), (71, ""), (None, "x"), (5, "again")]
     got = fingerprints(docs(spark, rows)).collect()
     order = sorted(rows, key=lambda x: (x[0] if x[0] is not None else -1, x[1] or ""), reverse=True)
-    want = [(i, edited(t or "", order[(k + 1) % len(order)][1] or ""), _voter.fingerprint(t).hex()) for k, (i, t) in enumerate(order)]
+    want = [(i, edited(t or "", order[(k + 1) % len(order)][1] or ""), fingerprint(word_hashes([t])[0]).hex()) for k, (i, t) in enumerate(order)]
     key = lambda x: (x[0] is not None, x[0] or 0, x[2])
     assert sorted(((x["doc_id"], x["edited"], x["fingerprint"]) for x in got), key=key) == sorted(want, key=key)
     base = r.getrandbits(128)

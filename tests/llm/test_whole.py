@@ -8,6 +8,7 @@ from tests.llm.test_llm import WORDS, docs
 
 
 def test_alike_texts_in_a_bucket_that_a_hot_component_fills(spark):
+    from memlake.llm.hashing import word_hashes
     from memlake.llm.order_minhash import SKETCHES, bucket_components, shingles
 
     r = random.Random(21)
@@ -16,16 +17,17 @@ def test_alike_texts_in_a_bucket_that_a_hot_component_fills(spark):
     texts = {k: start + hot + ["copy", str(k)] for k in range(300)}
     for k, tail in enumerate(pairs):
         texts |= {1000 + k: start + tail + ["this"], 2000 + k: start + tail + ["that"]}
-    bucket = spark.createDataFrame([(k, 3, 77) for k in texts], "id long, sketch int, sig long")
+    bucket = spark.createDataFrame([(k, 3, 77, 4) for k in texts], "id long, sketch int, sig long, salts int")
     marks = spark.createDataFrame([(k, [k * 100 + n if n != 3 else 77 for n in range(SKETCHES)]) for k in texts], "id long, marks array<long>")
-    seqs = spark.createDataFrame([(k, shingles(t).tobytes()) for k, t in texts.items()], "id long, seq binary")
+    seqs = spark.createDataFrame([(k, shingles(word_hashes([" ".join(t)])[0]).tobytes()) for k, t in texts.items()], "id long, seq binary")
     want = {k: 0 if k < 300 else k if k < 2000 else k - 1000 for k in texts}
     for rows in (256, 16):
         assert {x["id"]: x["component"] for x in bucket_components(bucket, marks, seqs, tile_rows=rows).collect()} == want
 
 
 def test_one_word_edits_of_short_texts(spark):
-    from memlake.llm.order_minhash import near_duplicates, shingles, similar, words_of
+    from memlake.llm.hashing import word_hashes
+    from memlake.llm.order_minhash import near_duplicates, shingles, similar
 
     r = random.Random(22)
     rows = []
@@ -33,7 +35,7 @@ def test_one_word_edits_of_short_texts(spark):
         w = [r.choice(WORDS) + str(r.randrange(10_000)) for _ in range(6 + k % 12)]
         at = (0, len(w) // 2, len(w))[k // 12 % 3]
         rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(w[:at] + ["more"] + w[at:]))]
-    linked = {i: similar(shingles(words_of(t)), shingles(words_of(u))) for (i, t), (_, u) in zip(rows[::2], rows[1::2])}
+    linked = {i: similar(*map(shingles, word_hashes([t, u]))) for (i, t), (_, u) in zip(rows[::2], rows[1::2])}
     assert sum(linked.values()) > 30 and not all(linked.values())
     got = {x["doc_id"]: x["class_id"] for x in near_duplicates(docs(spark, rows)).collect()}
     assert {i: got[i + 1] == i for i in linked} == linked
