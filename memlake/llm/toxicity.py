@@ -20,8 +20,8 @@ from memlake.llm.hashing import hash_spans, kind, laid, mix, running, runs, slic
 from memlake.llm.workers import task
 from memlake.session import ship, written
 
-MAX_POSITIVE = 8_000  # bound of the sample of labelled toxic documents
-MAX_UNLABELLED = 8_000  # bound of the sample of documents without their labels
+MAX_POSITIVE = 5_000  # bound of the sample of labelled toxic documents
+MAX_UNLABELLED = 5_000  # bound of the sample of documents without their labels
 DIMENSIONS = 1 << 18
 SHRINK = 2.0  # a rate within this many standard errors tells nothing
 BEGINNINGS = (5, 7)  # insults also come inflected
@@ -30,7 +30,7 @@ FOLDS, HELD = 3, 1
 
 
 def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the text, feature) of the distinct words of each text and of their beginnings, one of each word; in order of the texts."""
+    """(place of the text, feature) of the distinct words of each text and of their beginnings, each feature once; in order of the texts."""
     _, codes, begins = laid(texts)
     start, end = runs(kind("letters")[codes])
     total = running(codes)
@@ -43,9 +43,8 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
         long = end - start > n
         found.append(mix(hash_spans(total, start[long], start[long] + n) + np.uint64(n)))
         of.append(text[at][long])
-    of, found = np.concatenate(of), np.concatenate(found)
-    order = np.argsort(of, kind="stable")
-    return of[order], (found[order] >> np.uint64(20)).astype(np.int64) % DIMENSIONS
+    both = np.unique(np.concatenate(of) * DIMENSIONS + (np.concatenate(found) >> np.uint64(20)).astype(np.int64) % DIMENSIONS)
+    return both // DIMENSIONS, both % DIMENSIONS
 
 
 def held_out(doc_id):
@@ -54,12 +53,12 @@ def held_out(doc_id):
 
 
 class Rows:
-    """Documents as sparse rows of features."""
+    """Documents as sparse rows of features; 32-bit numbers, as the driver holds them all."""
 
     def __init__(self, found: list[np.ndarray]):
         self.n = len(found)
-        self.row = np.repeat(np.arange(self.n), [len(f) for f in found])
-        self.at = np.concatenate(found) if found else np.zeros(0, np.int64)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(f) for f in found])
+        self.at = np.concatenate(found) if found else np.zeros(0, np.int32)
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.at], self.n)
@@ -69,10 +68,10 @@ class Rows:
 
     def presence(self) -> np.ndarray:
         """Number of rows with each feature."""
-        return np.bincount(np.unique(self.row * DIMENSIONS + self.at) % DIMENSIONS, minlength=DIMENSIONS)
+        return np.bincount(self.at, minlength=DIMENSIONS)
 
-    def narrowed(self, place: np.ndarray, weight: np.ndarray) -> Rows:
-        """Only the features with a place there, weighted."""
+    def narrowed(self, place: np.ndarray) -> Rows:
+        """Only the features with a place there."""
         out, keep = Rows([]), place[self.at] >= 0
         out.n, out.row, out.at = self.n, self.row[keep], place[self.at[keep]]
         return out
@@ -90,10 +89,10 @@ def fit_nnpu(p: Rows, u: Rows, prior: float, epochs: int = 200, rate: float = 0.
     """(weight of each feature, bias) of the classifier with the least non-negative PU risk for that class prior."""
     z = evidence(p, u)
     active = np.flatnonzero(z)
-    place = np.full(DIMENSIONS, -1)
+    place = np.full(DIMENSIONS, -1, np.int32)
     place[active] = np.arange(len(active))
     scale = z[active]
-    p, u = p.narrowed(place, scale), u.narrowed(place, scale)
+    p, u = p.narrowed(place), u.narrowed(place)
     w, b = np.zeros(len(active)), 0.0
     m = v = np.zeros(len(active) + 1)
     for t in range(1, epochs + 1):
@@ -161,8 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([f.tobytes() for f in mine], pa.binary())], ["doc_id", "positive", "unlabelled", "found"])
 
     got = written(sample.mapInArrow(run, "doc_id long, positive boolean, unlabelled boolean, found binary"), "toxic-sample").orderBy("doc_id", "found").collect()  # max_positive + max_unlabelled rows
-    of = {c: [(r["doc_id"], np.frombuffer(r["found"], "<i4").astype(np.int64)) for r in got if r[c]] for c in ("positive", "unlabelled")}
-    if not of["positive"] or not any(not r["positive"] for r in got):
+    of = {c: [(r["doc_id"], np.frombuffer(r["found"], "<i4")) for r in got if r[c]] for c in ("positive", "unlabelled")}
+    others = any(not r["positive"] for r in got)
+    del got
+    if not of["positive"] or not others:
         return {"weights": np.zeros(1, np.float32), "bias": 0.0, "shift": -10.0, "prior": 0.0}
 
     def rows_of(c, half=None):
