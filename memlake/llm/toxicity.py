@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.hashing import hash_spans, kind, laid, mix, running, runs, slices
-from memlake.llm.workers import task
+from memlake.llm.workers import give_back, task
 from memlake.session import ship, written
 
 MAX_POSITIVE = 5_000  # bound of the sample of labelled toxic documents
@@ -193,6 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
                 out[c].append(rows_of(c, 1 - half).times(v) + c0)
     fp, fu = (np.concatenate(out[c]) if out[c] else np.zeros(0) for c in ("positive", "unlabelled"))
     cut = choose_cut(fp, fu) if len(fp) and len(fu) else choose_cut(p.times(w) + b, u.times(w) + b)
+    del p, u, out, of
+    give_back()
     return {"weights": w.astype(np.float32), "bias": b, "shift": float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut), "prior": prior}
 
 
