@@ -109,16 +109,12 @@ def accent_folding(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.fold_accents(F.col("text"))).alias("folded_md5"))
 
 
-def document_frequency_all(spark, d):
+def document_frequency(spark, d):
+    """Every term; document_frequency_all is an older name of it."""
     p = rank.postings(table(spark, d, "documents"))
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def document_frequency(spark, d):
-    """The terms of five documents or more, as its SQL has it; document_frequency_all has every term."""
-    return document_frequency_all(spark, d).where("df >= 5")
-
-
 def conflict_scan(spark, d):
     e = table(spark, d, "embeddings")
     pairs = e.alias("a").join(e.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
@@ -168,11 +164,7 @@ def _clicks(spark, d) -> DataFrame:
 
 
 def shared_entities(spark, d):
-    """The links of the first clicks, as its SQL has it; shared_entities_all has those of all."""
-    return graph.shared_entity_edges(_clicks(spark, d).where("event_id < 2000"))
-
-
-def shared_entities_all(spark, d):
+    """The links of all clicks; shared_entities_all is an older name of it."""
     return graph.shared_entity_edges(_clicks(spark, d))
 
 
@@ -232,7 +224,7 @@ ORACLE: dict[str, str] = {
     "token_estimate": f"SELECT doc_id, {_EST} AS tokens, CASE WHEN length(text) > 120 THEN substring(text, 1, 120) || '…' ELSE text END AS preview FROM documents",
     "tag_parser": "SELECT doc_id, array_to_string(list_sort(list_distinct(['a', 'b', lang])), ',') AS tags FROM documents",
     "accent_folding": "SELECT doc_id, md5(translate(lower(text), 'áéíóúüñ', 'aeiouun')) AS folded_md5 FROM documents",
-    "document_frequency": f"SELECT term, COUNT(DISTINCT doc_id) AS df, COUNT(*) AS cf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) t GROUP BY term HAVING COUNT(DISTINCT doc_id) >= 5",
+    "document_frequency": f"SELECT term, COUNT(DISTINCT doc_id) AS df, COUNT(*) AS cf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) t GROUP BY term",
     "conflict_scan": f"SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, ROUND({_COS}, 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) t WHERE cosine >= 0.35",
     "session_drift": "WITH s AS (SELECT conv_id AS session, turn, length(text) % 100 / 100.0 AS sim, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), l AS (SELECT *, n - ROW_NUMBER() OVER (PARTITION BY session ORDER BY turn) AS island FROM s WHERE n > 1 AND sim < 0.6) SELECT session, MIN(at_) AS drift_at FROM (SELECT session, island, MIN(turn) AS at_ FROM l GROUP BY 1, 2 HAVING COUNT(*) >= 3) t GROUP BY session",
     "confidence_ema": f"SELECT memory_id, ROUND(list_reduce(list_prepend(0.5::DOUBLE, list(t ORDER BY event_id)), lambda c, x: greatest(0.1, least(0.99, c + (x - c) * 0.05))), 6) AS confidence FROM (SELECT {_K} AS memory_id, event_id, CASE WHEN value >= 50 THEN 1.0 ELSE 0.0 END::DOUBLE AS t FROM events WHERE event_type = 'click') e GROUP BY memory_id",
@@ -241,14 +233,15 @@ ORACLE: dict[str, str] = {
     "bfs_two_hop": f"WITH {_E}, u AS (SELECT src AS x, dst AS y FROM ed UNION SELECT dst, src FROM ed), h1 AS (SELECT DISTINCT y AS id FROM u WHERE x = 1 AND y <> 1), h2 AS (SELECT DISTINCT u.y AS id FROM u JOIN h1 ON u.x = h1.id WHERE u.y <> 1 AND u.y NOT IN (SELECT id FROM h1)) SELECT id, hop FROM (SELECT id, 1 AS hop FROM h1 UNION ALL SELECT id, 2 FROM h2) t ORDER BY hop, id LIMIT 12",
     "degree_centrality": f"WITH {_E} SELECT id, CAST(SUM(i) AS BIGINT) AS in_degree, CAST(SUM(o) AS BIGINT) AS out_degree FROM (SELECT src AS id, 0 AS i, 1 AS o FROM ed UNION ALL SELECT dst, 1, 0 FROM ed) t GROUP BY id",
     "connected_components": "SELECT doc_id AS id, doc_id - doc_id % 7 AS component FROM documents WHERE doc_id % 7 <> 0 UNION SELECT doc_id - doc_id % 7, doc_id - doc_id % 7 FROM documents WHERE doc_id % 7 <> 0",
-    "shared_entities": f"WITH e AS (SELECT DISTINCT user_id AS id, {_K} AS entity FROM events WHERE event_type = 'click' AND event_id < 2000), r AS (SELECT * FROM e WHERE entity IN (SELECT entity FROM e GROUP BY entity HAVING COUNT(*) BETWEEN 2 AND 32)), p AS (SELECT x.id AS src, y.id AS dst, COUNT(*) AS shared FROM r x JOIN r y ON x.entity = y.entity AND x.id < y.id GROUP BY 1, 2 HAVING COUNT(*) >= 2) SELECT src, dst, shared FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY src ORDER BY shared DESC, dst) AS n FROM p) t WHERE n <= 8",
+    "shared_entities": f"WITH e AS (SELECT DISTINCT user_id AS id, {_K} AS entity FROM events WHERE event_type = 'click'), r AS (SELECT * FROM e WHERE entity IN (SELECT entity FROM e GROUP BY entity HAVING COUNT(*) BETWEEN 2 AND 32)), p AS (SELECT x.id AS src, y.id AS dst, COUNT(*) AS shared FROM r x JOIN r y ON x.entity = y.entity AND x.id < y.id GROUP BY 1, 2 HAVING COUNT(*) >= 2) SELECT src, dst, shared FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY src ORDER BY shared DESC, dst) AS n FROM p) t WHERE n <= 8",
 }
 
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, bm25_prefix_topk, vector_topk, rrf_fusion, hybrid_linear, hybrid_blend, normalize_per_kind, weighted_score, usefulness_boost, lexical_coverage, normalize_dedup, redact_secrets,
-        redact_tally, token_estimate, tag_parser, accent_folding, document_frequency, document_frequency_all, conflict_scan, session_drift, confidence_ema, supersede_winner, latest_episode, bfs_two_hop, degree_centrality,
-        connected_components, shared_entities, shared_entities_all, budget_pack, mmr_rerank, context_bundle,
+        redact_tally, token_estimate, tag_parser, accent_folding, document_frequency, conflict_scan, session_drift, confidence_ema, supersede_winner, latest_episode, bfs_two_hop, degree_centrality,
+        connected_components, shared_entities, budget_pack, mmr_rerank, context_bundle,
     )
 }
+QUERIES |= {"document_frequency_all": document_frequency, "shared_entities_all": shared_entities}

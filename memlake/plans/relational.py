@@ -63,7 +63,7 @@ SQL: dict[str, str] = {
     "rank_metrics": "SELECT user_id, $L<<MIN(r)>> AS first_gold, $R<<1.0 / MIN(r)>> AS mrr, $L<<MAX(CASE WHEN r <= 3 THEN 1 ELSE 0 END)>> AS recall_at_3 FROM (SELECT user_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r, event_type FROM events) t WHERE event_type = 'click' GROUP BY user_id",
     "percentiles": "SELECT event_type, MAX(CASE WHEN k = CAST(ROUND(0.5 * (n - 1)) AS BIGINT) THEN value END) AS p50, MAX(CASE WHEN k = CAST(ROUND(0.95 * (n - 1)) AS BIGINT) THEN value END) AS p95 FROM (SELECT event_type, value, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, COUNT(*) OVER (PARTITION BY event_type) AS n FROM events) t GROUP BY event_type",
     "policy_probability": "SELECT event_id, $R<<1.0 / (1.0 + EXP(-(20.0 * (value / 500.0) + 2.0 * (event_id % 2) - 9.0)))>> AS p FROM events WHERE event_type = 'view'",
-    "policy_accuracy": "SELECT $R<<AVG(CASE WHEN (value >= 225) = (event_id % 2 = 0) THEN 1.0 ELSE 0.0 END)>> AS accuracy FROM events WHERE event_type = 'view'",
+    "policy_accuracy": "SELECT $R<<AVG(CAST(CASE WHEN (value >= 225) = (event_id % 2 = 0) THEN 1 ELSE 0 END AS DOUBLE))>> AS accuracy FROM events WHERE event_type = 'view'",
     "holdout_split": "SELECT item_id, (ROW_NUMBER() OVER (ORDER BY item_id) - 1) % 5 = 0 AS holdout FROM benchmark",
     "tune_grid": "SELECT f.x AS floor_, w.x AS weight, $R<<f.x * 2 - w.x * w.x>> AS objective FROM (VALUES (0.1), (0.2), (0.3), (0.4)) AS f(x) CROSS JOIN (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) AS w(x)",
     # ranking and temporal

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from memlake.plans import knowledge, ranking, relational
+from memlake.plans import gating, knowledge, ranking, relational
 from memlake.plans.sqlpair import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def rows(data, columns):
     order = sorted(range(len(columns)), key=lambda k: columns[k])
-    plain = lambda v: round(float(v), 5) + 0.0 if type(v).__name__ in ("float", "Decimal") else v
+    plain = lambda v: round(float(v), 6) + 0.0 if type(v).__name__ in ("float", "Decimal") else v
     return sorted(tuple(str(plain(r[k])) for k in order) for r in data)
 
 
@@ -24,7 +24,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", [*ranking.ORACLE, *knowledge.ORACLE, *relational.SQL])
+@pytest.mark.parametrize("name", [*ranking.ORACLE, *knowledge.ORACLE, *gating.ORACLE, *relational.SQL])
 def test_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
