@@ -78,12 +78,15 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
 
 
 def _at_most(cuts, value, n: int):
-    """How many of n ascending cuts are at most the value, by halving: as many steps as n has binary digits."""
-    found = F.lit(0)
-    for k in reversed(range(n.bit_length())):
-        step = found + F.lit(1 << k)
-        found = F.when((step <= n) & (F.try_element_at(cuts, step) <= value), step).otherwise(found)
-    return found
+    """How many of n ascending cuts are at most the value, by halving: as many steps as n has binary digits, in an expression of fixed size."""
+    if not n:
+        return F.lit(0)
+
+    def step(found, by):
+        to = found + by
+        return F.when((to <= n) & (F.try_element_at(cuts, to) <= value), to).otherwise(found)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length())))), F.lit(0), step)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
