@@ -92,6 +92,41 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlake.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op12_source_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlake.llm.source_tries import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memlake.llm.periodic_runs import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SOURCES = f"""
+WITH d AS (SELECT row_number() OVER () AS n, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source, regexp_extract_all(translate(COALESCE(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT n, lang, source, unnest(t) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING COUNT(DISTINCT n) >= 3),
+v AS (SELECT lang, COUNT(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, COUNT(*) AS c FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+t AS (SELECT g.lang, g.source, COALESCE(SUM(c.c), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (SELECT k.lang, t.source, k.term, COALESCE(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (COALESCE(c.c, 0) + 1)) // (t.total + v.v) AS p FROM k JOIN v USING (lang) JOIN t USING (lang) LEFT JOIN c ON c.lang = k.lang AND c.term = k.term AND c.source = t.source),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (a.c + 1)) // (b.total + v.v) AS q FROM (SELECT lang, term, SUM(c)::HUGEINT AS c FROM c GROUP BY lang, term) a JOIN (SELECT lang, SUM(total) AS total FROM t GROUP BY lang) b USING (lang) JOIN v USING (lang)),
+s AS (SELECT x.lang, x.source, y.source AS item, SUM((x.p - y.p) * (x.p - y.p) // y.p) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, COALESCE(s.f, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+UNION ALL SELECT p.lang, p.source, 'term', p.term, ((p.p - q.q) * (p.p - q.q) // q.q)::BIGINT FROM p JOIN q USING (lang, term) WHERE p.c > 0 AND p.p > q.q)
+SELECT lang, source, part, item, value, rank FROM (SELECT *, (ROW_NUMBER() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r) x WHERE part = 'pair' OR rank <= 200"""
+
+
 QUERIES = {
     "op1_bloom_lm": op1_bloom_lm,
     "op2_order_minhash": op2_order_minhash,
@@ -103,5 +138,8 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op8_best_two_fit": op8_best_two_fit,
     "op10_token_store": op10_token_store,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_source_tries": op12_source_tries,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_source_tries": _SOURCES}
