@@ -29,6 +29,7 @@ CHUNK = 4_096  # leaves of a row
 RANGE = 100_000  # leaves that a range is cut for, before merging
 MOST_CUTS = 20_000  # of at most 16 bytes and a language each: the driver and the tasks hold no more
 CUT_BYTES = 16
+MOST_SENT = 100_000  # (lang, source) groups, a name and a number each, that are sent to all tasks
 TRIE = "names array<string>, shared array<int>, label array<binary>, docs array<long>, width array<int>, source array<int>, count array<long>"
 #: Bytes that are no part of a term become spaces; A to Z become a to z.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -310,6 +311,8 @@ def divergence(docs: DataFrame, least: int = 3, most: int = 200) -> DataFrame:
     terms = kept.groupBy("lang").agg(F.sum(F.size("label")).alias("v"))
     known = groups.join(sums, ["lang", "source"], "left").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", F.coalesce("n", F.lit(0)).alias("n")))).alias("of"))  # a row a language, as wide as it has sources
     sized = known.join(terms, "lang").select("lang", F.col("of.source").alias("all_names"), F.col("of.n").alias("totals"), "v")
+    if groups.count() <= MOST_SENT:  # a join would deal by language, and one may hold nearly all; beyond this size adaptive execution splits it
+        sized = F.broadcast(sized)
 
     @task("source_tries")
     def walk(batches):
