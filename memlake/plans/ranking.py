@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as T
 from memlake.functions.vector import cosine
-from memlake.operators import graph, rank, temporal
-from memlake.session import table
+from memlake.operators import graph, postings, rank, temporal
+from memlake.session import file_stamp, table, work_dir
 
 QUERY = ["thatin", "ononst", "hehely"]
 _TOK = "list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda t: length(t) >= 2)"
@@ -23,8 +23,36 @@ _COS = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE *
 _VEC = f"v AS (SELECT a.vec_id AS id, ROUND({_COS}, 6) AS score FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b ORDER BY 2 DESC, 1 LIMIT 80)"
 
 
+_kept: dict[tuple[str, str, str], str] = {}
+
+
+def _kept_table(spark, d, table_name: str, build) -> str:
+    """The folder of an index over one table, built at its first use in this application and again once the table's files change."""
+    source = table(spark, d, table_name)
+    key = spark.sparkContext.applicationId, build.__name__, file_stamp(source)
+    if key not in _kept:
+        path = work_dir(spark, build.__name__)
+        build(spark, path, source)
+        _kept[key] = path
+    return _kept[key]
+
+
+def _build_postings(spark, path: str, docs: DataFrame) -> None:
+    postings.append(spark, path, docs, "first")
+
+
+def _index(spark, d) -> str:
+    return _kept_table(spark, d, "documents", _build_postings)
+
+
 def _bm(spark, d) -> DataFrame:
-    return rank.bm25(table(spark, d, "documents"), QUERY).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(80)
+    return postings.bm25(spark, _index(spark, d), QUERY).select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(80)
+
+
+def postings_by_bucket(spark, d):
+    """The size of each bucket of the kept index: distinct terms, postings and tokens."""
+    p = postings.postings(spark, _index(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return p.groupBy(F.substring("term", 1, 1).alias("initial")).agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"), F.sum("cf").alias("tokens"))
 
 
 def _vec(spark, d) -> DataFrame:
@@ -37,7 +65,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_prefix_topk(spark, d):
-    return rank.bm25(table(spark, d, "documents"), ["thatin", "onon"], prefix=True).select("id", F.round("score", 5).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+    return postings.bm25(spark, _index(spark, d), ["thatin", "onon"], prefix=True).select("id", F.round("score", 5).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
 def vector_topk(spark, d):
@@ -110,9 +138,8 @@ def accent_folding(spark, d):
 
 
 def document_frequency(spark, d):
-    """Every term; document_frequency_all is an older name of it."""
-    p = rank.postings(table(spark, d, "documents"))
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    """Every term, from the kept index."""
+    return postings.document_frequencies(spark, _index(spark, d))
 
 
 def conflict_scan(spark, d):
@@ -164,7 +191,7 @@ def _clicks(spark, d) -> DataFrame:
 
 
 def shared_entities(spark, d):
-    """The links of all clicks; shared_entities_all is an older name of it."""
+    """The links of all clicks."""
     return graph.shared_entity_edges(_clicks(spark, d))
 
 
@@ -208,7 +235,19 @@ _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 _EST = "CAST(ceil(len(list_filter(string_split_regex(trim(text), '\\s+'), lambda t: t <> '')) * 1.33) AS BIGINT)"
 _E = f"ed AS (SELECT user_id AS src, {_K} + 1000 AS dst FROM events WHERE event_type = 'purchase')"
 
+_PREFIX = f"""
+t AS (SELECT doc_id AS id, {_TOK} AS t FROM documents),
+s AS (SELECT COUNT(*) AS n, AVG(len(t)) AS avgdl FROM t),
+p AS (SELECT id, len(t) AS dl, q.term, len(list_filter(t, lambda x: starts_with(x, q.term))) AS tf FROM t CROSS JOIN (VALUES ('thatin'), ('onon')) AS q(term)),
+df AS (SELECT term, COUNT(*) AS df FROM p WHERE tf > 0 GROUP BY term)"""
+_GREEDY = f"""
+r AS (SELECT id, ROW_NUMBER() OVER (ORDER BY score DESC, id) AS r FROM b),
+c AS (SELECT r.r, r.id, CAST(ceil(len(list_filter(string_split_regex(trim(d.text), '\\s+'), lambda t: t <> '')) * 1.33) AS BIGINT) AS cost FROM r JOIN documents d ON d.doc_id = r.id),
+g AS (SELECT 0::BIGINT AS r, 0::BIGINT AS used, []::BIGINT[] AS ids UNION ALL SELECT c.r, CASE WHEN g.used + c.cost <= 3000 THEN g.used + c.cost ELSE g.used END, CASE WHEN g.used + c.cost <= 3000 THEN list_append(g.ids, c.id) ELSE g.ids END FROM g JOIN c ON c.r = g.r + 1)"""
 ORACLE: dict[str, str] = {
+    "postings_by_bucket": f"SELECT substring(term, 1, 1) AS initial, COUNT(*) AS terms, CAST(SUM(df) AS BIGINT) AS postings, CAST(SUM(cf) AS BIGINT) AS tokens FROM (SELECT term, COUNT(DISTINCT doc_id) AS df, COUNT(*) AS cf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) t GROUP BY term) x GROUP BY 1",
+    "bm25_prefix_topk": f"WITH {_PREFIX} SELECT id, ROUND(SUM(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 5) AS score FROM p JOIN df USING (term) CROSS JOIN s WHERE tf > 0 GROUP BY id ORDER BY score DESC, id LIMIT 20",
+    "budget_pack": f"WITH RECURSIVE {_BM25}, {_GREEDY} SELECT 1::BIGINT AS query_id, array_to_string(ids, ',') AS ids, used FROM g ORDER BY r DESC LIMIT 1",
     "bm25_topk": f"WITH {_BM25} SELECT id, score FROM b ORDER BY score DESC, id LIMIT 20",
     "vector_topk": f"WITH {_VEC} SELECT id, score FROM v ORDER BY score DESC, id LIMIT 20",
     "rrf_fusion": f"WITH {_BM25}, {_VEC}, r AS (SELECT id, ROW_NUMBER() OVER (ORDER BY score DESC, id) AS r FROM b UNION ALL SELECT id, ROW_NUMBER() OVER (ORDER BY score DESC, id) AS r FROM v), f AS (SELECT id, SUM(1.0 / (60 + r)) AS raw FROM r GROUP BY id) SELECT id, ROUND(raw / (SELECT MAX(raw) FROM f), 6) AS score FROM f",
@@ -239,9 +278,8 @@ ORACLE: dict[str, str] = {
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_prefix_topk, vector_topk, rrf_fusion, hybrid_linear, hybrid_blend, normalize_per_kind, weighted_score, usefulness_boost, lexical_coverage, normalize_dedup, redact_secrets,
+        postings_by_bucket, bm25_topk, bm25_prefix_topk, vector_topk, rrf_fusion, hybrid_linear, hybrid_blend, normalize_per_kind, weighted_score, usefulness_boost, lexical_coverage, normalize_dedup, redact_secrets,
         redact_tally, token_estimate, tag_parser, accent_folding, document_frequency, conflict_scan, session_drift, confidence_ema, supersede_winner, latest_episode, bfs_two_hop, degree_centrality,
         connected_components, shared_entities, budget_pack, mmr_rerank, context_bundle,
     )
 }
-QUERIES |= {"document_frequency_all": document_frequency, "shared_entities_all": shared_entities}

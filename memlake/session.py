@@ -106,3 +106,13 @@ def partitions(spark: SparkSession) -> int:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, read by Spark only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def file_stamp(df: DataFrame) -> str:
+    """Names, sizes and times of the files a DataFrame reads: changes when any of them does. Looked up on the driver, no data is read."""
+    spark, out = df.sparkSession, []
+    for name in sorted(df.inputFiles()):
+        at = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        out.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
+    return "\n".join(out)
