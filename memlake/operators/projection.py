@@ -256,8 +256,8 @@ def _nudged(confidence: float, target: float) -> float:
     return min(HIGHEST, max(LOWEST, confidence + ALPHA * (target - confidence)))
 
 
-def streamed(touches: DataFrame, key: str, machine: Callable, schema: str, each: Callable | None = None, last: Callable | None = None) -> DataFrame:
-    """Touches dealt by key, sorted by clock and applied to one machine a key; rows of `each` touch and of the `last` state.
+def streamed(touches: DataFrame, key: str, machine: Callable, schema: str, each: Callable | None = None, last: Callable | None = None, order: tuple = ("hlc", "event_id")) -> DataFrame:
+    """Touches dealt by key, sorted by `order` and applied to one machine a key; rows of `each` touch and of the `last` state.
 
     A task reads its touches as they come and holds one state. A very frequent key is one task's stream, in time but not in memory.
     """
@@ -292,7 +292,7 @@ def streamed(touches: DataFrame, key: str, machine: Callable, schema: str, each:
         if out:
             yield emit()
 
-    dealt = touches.repartition(partitions(spark), key).sortWithinPartitions(key, "hlc", "event_id")
+    dealt = touches.repartition(partitions(spark), key).sortWithinPartitions(key, *order)
     return dealt.mapInArrow(run, schema)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as T
 from memlake.functions.vector import cosine
-from memlake.operators import graph, postings, rank, temporal
+from memlake.operators import graph, postings, rank, temporal, vector_index
 from memlake.session import file_stamp, table, work_dir
 
 QUERY = ["thatin", "ononst", "hehely"]
@@ -55,9 +55,15 @@ def postings_by_bucket(spark, d):
     return p.groupBy(F.substring("term", 1, 1).alias("initial")).agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"), F.sum("cf").alias("tokens"))
 
 
+def _build_vectors(spark, path: str, vectors: DataFrame) -> None:
+    vector_index.build(spark, path, vectors)
+
+
 def _vec(spark, d) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    return rank.vector_topk(e, e.where("vec_id = 0").select("embedding").first()[0], 80).withColumnRenamed("cosine", "score")
+    """The 80 nearest vectors to vector 0, from the kept index, with every cell that could hold one of them."""
+    path = _kept_table(spark, d, "embeddings", _build_vectors)
+    asked = table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()
+    return vector_index.search(spark, path, asked[0] if asked else [0.0], 80, exact=True).withColumnRenamed("cosine", "score")
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
