@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.operators import bitemporal, projection
+from memlake.operators import bitemporal, exposures, projection
 from memlake.session import table
 
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
@@ -62,6 +62,34 @@ def memory_as_known(spark: SparkSession, d: str) -> DataFrame:
     return bitemporal.as_known(*_known_tables(spark, d))
 
 
+_DAY = "concat('d', user_id, '-', date_format(ts, 'yyyyMMdd'))"
+
+
+def _exposed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Deliveries of what a user viewed in a day, and clicks as citations of them."""
+    e = table(spark, d, "events").select("event_id", "event_type", "ts", F.expr(_DAY).alias("exposure_id"), F.expr(f"{_K} % 20").alias("memory_id"), F.col("user_id").alias("run_id"))
+    sent = e.where("event_type = 'view'").groupBy(F.col("exposure_id").alias("event_id"), "run_id", "memory_id").agg(F.max("ts").alias("ts")).withColumn("shown", F.expr("CASE memory_id % 5 WHEN 0 THEN '' ELSE concat('v', memory_id % 3) END"))
+    cited = e.where("event_type = 'click'").withColumn("outcome", F.expr("CASE event_id % 5 WHEN 0 THEN 'helped' WHEN 1 THEN 'harmed' WHEN 2 THEN 'noop' WHEN 3 THEN CAST(NULL AS STRING) ELSE 'maybe' END"))
+    return sent, cited.withColumn("hlc", F.lpad(F.col("event_id").cast("string"), 12, "0"))
+
+
+def exposure_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Each click as a citation of what its user was shown that day: whether it counts, and why not."""
+    sent, cited = _exposed(spark, d)
+    memories = spark.range(20).select(F.col("id").alias("memory_id"), F.when(F.col("id") == 3, "then").alias("invalidated_at"), F.when(F.col("id") == 4, "m1").alias("superseded_by")).join(table(spark, d, "events").selectExpr(f"{_K} % 20 AS memory_id").distinct(), "memory_id")
+    return exposures.exposure_citations(cited.select("event_id", "hlc", "exposure_id", "memory_id", "outcome"), sent, memories)
+
+
+def personal_eval(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation cases: the last day on which each kind of question was asked, with the memories relied on then."""
+    sent, cited = _exposed(spark, d)
+    asked = sent.withColumn("query", F.concat(F.lit("about "), (F.col("run_id") % 40).cast("string"))).withColumn("task_id", F.lit(None).cast("string")).withColumn("ts", F.substring_index("event_id", "-", -1))
+    claims = sent.select("memory_id").distinct().withColumn("claim", F.expr("concat('v', memory_id % 2)"))
+    relied = cited.where("event_id % 5 <> 4").select("run_id", "exposure_id", "memory_id", F.expr("concat('v', memory_id % 3)").alias("revision"))
+    out = exposures.personal_eval(asked, relied, claims)
+    return out.select("query", F.array_join(F.transform("relevant", lambda m: m.cast("string")), ",").alias("relevant"), "ts")
+
+
 _FOLD = f"""
 WITH RECURSIVE e AS (SELECT {_K} AS k, event_id, {_WHAT} AS what, {_OUTCOME} AS outcome, 'r' || user_id AS run, event_id % 3 AS turn, 't' || (event_id % 6) AS txt, '2024-01-01T00:00:00.' || lpad(CAST(event_id AS VARCHAR), 9, '0') || 'Z' AS stamp FROM events),
 s AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY event_id) AS n FROM e),
@@ -110,4 +138,18 @@ l AS (SELECT q.ask, q.memory_id, q.known_at, q.valid_at, m.text FROM q JOIN m US
 x AS (SELECT l.ask, l.memory_id, l.text AS own, arg_max(b.event_id, (b.known_at, b.place)) AS revision, arg_max(b.text, (b.known_at, b.place)) AS text FROM l LEFT JOIN b ON b.memory_id = l.memory_id AND b.known_at <= l.known_at AND b.effective_at <= l.valid_at GROUP BY l.ask, l.memory_id, l.text)
 SELECT CAST(ask AS VARCHAR) AS ask, CAST(memory_id AS VARCHAR) AS memory_id, revision, CASE WHEN revision IS NULL THEN own ELSE text END AS text FROM x""",
 }
-QUERIES = {f.__name__: f for f in (projection_fold, memory_revisions, memory_as_known)}
+_SENT = f"""e AS (SELECT event_id, event_type, ts, 'd' || user_id || '-' || strftime(ts, '%Y%m%d') AS exposure_id, {_K} % 20 AS memory_id, user_id AS run_id FROM events),
+s AS (SELECT exposure_id, run_id, memory_id, CASE memory_id % 5 WHEN 0 THEN '' ELSE 'v' || (memory_id % 3) END AS shown FROM e WHERE event_type = 'view' GROUP BY ALL)"""
+ORACLE["exposure_citations"] = f"""
+WITH {_SENT}, c AS (SELECT e.*, COALESCE(CASE event_id % 5 WHEN 0 THEN 'helped' WHEN 1 THEN 'harmed' WHEN 2 THEN 'noop' WHEN 3 THEN NULL ELSE 'maybe' END, 'noop') AS outcome, s.shown FROM e LEFT JOIN s USING (exposure_id, memory_id) WHERE event_type = 'click'),
+w AS (SELECT *, CASE WHEN outcome = 'maybe' THEN 'outcome' WHEN shown IS NULL THEN 'undelivered' WHEN shown = '' THEN 'unbound' WHEN memory_id IN (3, 4) THEN 'gone' END AS wrong FROM c),
+n AS (SELECT *, ROW_NUMBER() OVER l AS n, first_value(outcome) OVER l AS was FROM w WINDOW l AS (PARTITION BY exposure_id, memory_id, wrong ORDER BY event_id)),
+t AS (SELECT *, CASE WHEN wrong IS NOT NULL THEN wrong WHEN n = 1 THEN 'accepted' WHEN outcome = was THEN 'repeat' ELSE 'conflict' END AS status FROM n)
+SELECT event_id, exposure_id, memory_id, outcome, CASE WHEN status = 'accepted' THEN shown END AS revision, status FROM t"""
+ORACLE["personal_eval"] = f"""
+WITH {_SENT}, a AS (SELECT *, 'about ' || (run_id % 40) AS query, split_part(exposure_id, '-', 2) AS ts FROM s),
+l AS (SELECT query, ts, exposure_id, run_id FROM a QUALIFY ROW_NUMBER() OVER (PARTITION BY query ORDER BY ts DESC, exposure_id DESC) = 1),
+r AS (SELECT DISTINCT run_id, exposure_id, memory_id, 'v' || (memory_id % 3) AS revision FROM e WHERE event_type = 'click' AND event_id % 5 <> 4),
+g AS (SELECT r.run_id, r.exposure_id, string_agg(r.memory_id::VARCHAR, ',' ORDER BY r.memory_id) AS relevant FROM r JOIN s ON s.exposure_id = r.exposure_id AND s.memory_id = r.memory_id AND s.shown = r.revision WHERE r.revision = 'v' || (r.memory_id % 2) GROUP BY ALL)
+SELECT l.query, COALESCE(g.relevant, '') AS relevant, l.ts FROM l LEFT JOIN g USING (run_id, exposure_id)"""
+QUERIES = {f.__name__: f for f in (projection_fold, memory_revisions, memory_as_known, exposure_citations, personal_eval)}
