@@ -90,12 +90,15 @@ def luhn(digits: Column) -> Column:
 
 #: Words that say nothing about a topic (fixed values).
 STOPWORDS = (
-    "the and for are but not you your with this that these those from into about what whats which who whom how why when where can could would "
-    "should will shall does did was were been being have has had its it is as at by of to in on or an be do me my we us our im ive let lets please "
-    "tell give show want need get got use using there their they them then than some any all more most such via per during while until unless before "
-    "after again against above below between through under over because also just only very much many each both same other another always never still "
-    "even ever every first found thing things value default if so up out off down no yes"
-).split()
+    "the", "and", "for", "are", "but", "not", "you", "your", "with", "this", "that", "these", "those", "from", "into", "about", "what", "whats",
+    "which", "who", "whom", "how", "why", "when", "where", "can", "could", "would", "should", "will", "shall", "does", "did", "was", "were", "been",
+    "being", "have", "has", "had", "its", "it", "is", "as", "at", "by", "of", "to", "in", "on", "or", "an", "be", "do", "me", "my", "we", "us", "our",
+    "im", "ive", "let", "lets", "please", "tell", "give", "show", "want", "need", "get", "got", "use", "using", "there", "their", "they", "them",
+    "then", "than", "some", "any", "all", "more", "most", "such", "via", "per", "during", "while", "until", "unless", "before", "after", "again",
+    "against", "above", "below", "between", "through", "under", "over", "because", "also", "just", "only", "very", "much", "many", "each", "both",
+    "same", "other", "another", "always", "never", "still", "even", "ever", "every", "first", "found", "thing", "things", "value", "default", "if",
+    "so", "up", "out", "off", "down", "no", "yes",
+)
 #: Classes of a task by the words it contains, the first class that has one; "feature" without any (fixed values).
 TASKS = {
     "debug": ("fix", "bug", "error", "fail", "crash", "panic", "regression", "broken", "debug", "stack trace", "exception"),

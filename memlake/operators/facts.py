@@ -45,8 +45,11 @@ ASKED = {
     "retencion": "retention", "memory limit": "memory_limit", "limite de memoria": "memory_limit",
 }
 #: Units in milliseconds and in bytes (fixed values).
-DURATIONS = {1: "ms millisecond milliseconds milisegundo milisegundos", 1000: "s second seconds segundo segundos", 60_000: "minute minutes minuto minutos", 3_600_000: "hour hours hora horas", 86_400_000: "day days dia dias", 604_800_000: "week weeks semana semanas"}
-SIZES = {1: "bytes", 1000: "kb", 1000**2: "mb", 1000**3: "gb", 1024: "kib", 1024**2: "mib", 1024**3: "gib"}
+DURATIONS = {
+    1: ("ms", "millisecond", "milliseconds", "milisegundo", "milisegundos"), 1000: ("s", "second", "seconds", "segundo", "segundos"), 60_000: ("minute", "minutes", "minuto", "minutos"),
+    3_600_000: ("hour", "hours", "hora", "horas"), 86_400_000: ("day", "days", "dia", "dias"), 604_800_000: ("week", "weeks", "semana", "semanas"),
+}
+SIZES = {1: ("bytes",), 1000: ("kb",), 1000**2: ("mb",), 1000**3: ("gb",), 1024: ("kib",), 1024**2: ("mib",), 1024**3: ("gib",)}
 LONGEST, LONGEST_CLAUSE, MOST_CLAUSES, MOST_FACTS = 65_536, 512, 256, 32  # bounds of what is read as statements (fixed values)
 _IS = r"\s*(?:is\s*|are\s+|es\s*|son\s+|=\s*|:\s*)"
 _ANY = "|".join(ASKED) + r"|`?[a-z0-9_.-]*[._][a-z0-9_.-]*`?"
@@ -84,7 +87,7 @@ def equivalence_key(attribute: Column, value: Column) -> Column:
     unit = F.lower(F.regexp_extract(v, r"^(\d+)(?:\.(\d+))?\s*([A-Za-z]+)$", 3))
 
     def scaled(units: dict, name: str) -> Column:
-        factor = reduce(lambda w, e: w.when(unit.isin(*e[1].split()), F.lit(e[0]).cast("decimal(12,0)")), units.items(), F.when(F.lit(False), F.lit(None).cast("decimal(12,0)")))
+        factor = reduce(lambda w, e: w.when(unit.isin(*e[1]), F.lit(e[0]).cast("decimal(12,0)")), units.items(), F.when(F.lit(False), F.lit(None).cast("decimal(12,0)")))
         number = F.when(F.length(F.concat(digits, fraction)).between(1, 26), F.concat(digits, fraction).cast("decimal(26,0)")) * factor
         text = F.regexp_replace(number.cast("string"), r"\..*$", "")
         bare = F.regexp_replace(text, "0+$", "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as T
 from memlake.operators import gates as G
+from memlake.plans.knowledge import _CLASS
 from memlake.plans.knowledge import ORACLE as KNOWLEDGE
 from memlake.session import table
 
@@ -28,9 +29,11 @@ def supersession_cues(spark, d) -> DataFrame:
 
 
 def task_reweight(spark, d) -> DataFrame:
-    kinds = [(k, *G.task_weights(k).values()) for k in ("feature", *G.TASK_FACTORS)]
-    out = spark.createDataFrame(kinds, "task string, relevance double, freshness double, confidence double, scope double")
-    return out.select("task", *(_r(F.col(c), c) for c in out.columns[1:]))
+    """The weights of each turn's task class, joined to the turns from a row a class."""
+    kinds = [(k, *(round(w, 6) for w in G.task_weights(k).values())) for k in ("feature", *G.TASK_FACTORS)]
+    weights = spark.createDataFrame(kinds, "task string, relevance double, freshness double, confidence double, scope double")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", T.task_class(F.concat_ws(" why ", "role", "text")).alias("task"))
+    return turns.join(F.broadcast(weights), "task").select("conv_id", "turn", *weights.columns)  # five rows
 
 
 def usefulness_decay(spark, d) -> DataFrame:
@@ -193,8 +196,8 @@ _GATE = [f"(list_contains(w, '{t}') OR list_contains(w, '{t}e') OR len(list_filt
 _NORMAL = "' ' || trim(regexp_replace(lower(concat_ws(' ', text, ['(Switched from tabs)', 'it is known', 'as-of 2024'][turn % 3 + 1])), '[^a-z0-9]+', ' ', 'g')) || ' '"
 ORACLE = {
     "supersession_cues": f"SELECT conv_id, turn, regexp_matches({_NORMAL}, ' ({'|'.join(G.CUES)}) ') AS cue FROM conversations",
-    "task_reweight": "SELECT task, ROUND(r / s, 6) AS relevance, ROUND(f / s, 6) AS freshness, ROUND(c / s, 6) AS confidence, ROUND(o / s, 6) AS scope FROM (SELECT *, r + f + c + o AS s FROM (SELECT task, 0.5::DOUBLE * CASE task WHEN 'investigation' THEN 1.4 ELSE 1 END AS r, "
-    "0.2::DOUBLE * CASE task WHEN 'debug' THEN 1.6 ELSE 1 END AS f, 0.2::DOUBLE * CASE task WHEN 'docs' THEN 1.15 ELSE 1 END AS c, 0.1::DOUBLE * CASE task WHEN 'refactor' THEN 1.6 ELSE 1 END AS o FROM (VALUES ('feature'), ('debug'), ('refactor'), ('investigation'), ('docs')) AS t(task)) x) y",
+    "task_reweight": f"WITH c AS (SELECT conv_id, turn, {_CLASS} AS task FROM (SELECT conv_id, turn, lower(concat_ws(' why ', role, text)) AS t FROM conversations) x), w AS (SELECT task, ROUND(r / s, 6) AS relevance, ROUND(f / s, 6) AS freshness, ROUND(c / s, 6) AS confidence, ROUND(o / s, 6) AS scope FROM (SELECT *, r + f + c + o AS s FROM (SELECT task, 0.5::DOUBLE * CASE task WHEN 'investigation' THEN 1.4 ELSE 1 END AS r, "
+    "0.2::DOUBLE * CASE task WHEN 'debug' THEN 1.6 ELSE 1 END AS f, 0.2::DOUBLE * CASE task WHEN 'docs' THEN 1.15 ELSE 1 END AS c, 0.1::DOUBLE * CASE task WHEN 'refactor' THEN 1.6 ELSE 1 END AS o FROM (VALUES ('feature'), ('debug'), ('refactor'), ('investigation'), ('docs')) AS t(task)) x) y) SELECT conv_id, turn, task, relevance, freshness, confidence, scope FROM c JOIN w USING (task)",
     "usefulness_decay": f"SELECT memory_id, ROUND(exp(-ln(2) / 45 * greatest(0, date_diff('day', CAST(last AS DATE), DATE '2024-02-15'))), 6) AS decay FROM (SELECT {_K} AS memory_id, MAX(ts) AS last FROM events WHERE event_type = 'click' GROUP BY 1) t",
     "conflict_resolution": "SELECT doc_id, ROUND(least(1, n_chars / 1000.0::DOUBLE) * exp(-ln(2) / 30 * (doc_id % 365)), 6) AS resolution FROM documents",
     "query_routing": f"SELECT user_id, memory_id, ROUND(least(0.25 * w / SUM(w) OVER (PARTITION BY user_id), 0.10::DOUBLE), 6) AS gain FROM (SELECT user_id, {_K} AS memory_id, 0.9::DOUBLE * ln(1 + COUNT(*)) / sqrt(1 + date_diff('day', CAST(MAX(ts) AS DATE), DATE '2024-02-15')) AS w FROM events WHERE event_type = 'click' GROUP BY 1, 2) t",

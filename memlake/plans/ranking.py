@@ -289,3 +289,5 @@ QUERIES = {
         connected_components, shared_entities, budget_pack, mmr_rerank, context_bundle,
     )
 }
+QUERIES |= {"document_frequency_all": document_frequency, "shared_entities_all": shared_entities}  # older names
+ORACLE |= {"document_frequency_all": ORACLE["document_frequency"], "shared_entities_all": ORACLE["shared_entities"]}

@@ -65,7 +65,7 @@ SQL: dict[str, str] = {
     "policy_probability": "SELECT event_id, $R<<1.0 / (1.0 + EXP(-(20.0 * (value / 500.0) + 2.0 * (event_id % 2) - 9.0)))>> AS p FROM events WHERE event_type = 'view'",
     "policy_accuracy": "SELECT $R<<AVG(CAST(CASE WHEN (value >= 225) = (event_id % 2 = 0) THEN 1 ELSE 0 END AS DOUBLE))>> AS accuracy FROM events WHERE event_type = 'view'",
     "holdout_split": "SELECT item_id, (ROW_NUMBER() OVER (ORDER BY item_id) - 1) % 5 = 0 AS holdout FROM benchmark",
-    "tune_grid": "SELECT f.x AS floor_, w.x AS weight, $R<<f.x * 2 - w.x * w.x>> AS objective FROM (VALUES (0.1), (0.2), (0.3), (0.4)) AS f(x) CROSS JOIN (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) AS w(x)",
+    "tune_grid": "WITH s AS (SELECT f.x AS floor_, SUM(CASE WHEN event_type = 'click' AND value >= f.x * 200 THEN 1.0 ELSE 0.0 END) / SUM(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END) AS quality, AVG(CASE WHEN value >= f.x * 200 THEN 1.0 ELSE 0.0 END) AS share FROM events CROSS JOIN (VALUES (0.1), (0.2), (0.3), (0.4)) AS f(x) GROUP BY f.x) SELECT floor_, w.x AS weight, $R<<quality - w.x * share>> AS objective FROM s CROSS JOIN (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) AS w(x)",
     # ranking and temporal
     "top_useful": f"SELECT memory_id, $R<<score * 1.0 / use_count>> AS ratio, use_count FROM ({MEM}) m WHERE use_count > 0 ORDER BY ratio DESC, use_count DESC, memory_id LIMIT 30",
     "old_runs": "SELECT user_id FROM (SELECT user_id, MAX(ts) AS last_ts, ROW_NUMBER() OVER (ORDER BY MAX(ts) DESC, user_id) AS r FROM events GROUP BY user_id) t WHERE r > 20 AND last_ts < TIMESTAMP '2024-01-30 00:00:00'",
