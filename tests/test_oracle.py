@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from memlake.plans import gating, knowledge, ranking, relational
+from memlake.plans import decisions, gating, knowledge, lifecycle, ranking, redactions, relational, statements
 from memlake.plans.sqlpair import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -24,7 +24,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", [*ranking.ORACLE, *knowledge.ORACLE, *gating.ORACLE, *relational.SQL])
+@pytest.mark.parametrize("name", [*ranking.ORACLE, *knowledge.ORACLE, *gating.ORACLE, *lifecycle.ORACLE, *decisions.ORACLE, *redactions.ORACLE, *statements.ORACLE, *relational.SQL])
 def test_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
