@@ -45,8 +45,9 @@ def _literal(p: str) -> str:
 
 _FACTS = f"""
 t AS (SELECT p_partkey AS id, {_TEXT} AS text FROM part),
-c AS (SELECT id, unnest(list_filter(string_split(regexp_replace(regexp_replace(text, '\\n', chr(10) || chr(1), 'g'), '\\.(\\s|\\z)', '.' || chr(1) || '\\1', 'g'), chr(1)), lambda s: NOT contains(s, ','))) AS s FROM t WHERE NOT regexp_matches({_fold('text')}, '{'|'.join(A.EXAMPLES)}')),
-u AS (SELECT id, ROW_NUMBER() OVER (PARTITION BY id) AS k, string_split(regexp_replace(s, ';', ';' || chr(1), 'g'), chr(1)) AS s FROM c),
+l AS (SELECT id, list_filter(string_split(regexp_replace(regexp_replace(text, '\\n', chr(10) || chr(1), 'g'), '\\.(\\s|\\z)', '.' || chr(1) || '\\1', 'g'), chr(1)), lambda s: NOT contains(s, ',')) AS l FROM t WHERE NOT regexp_matches({_fold('text')}, '{'|'.join(A.EXAMPLES)}')),
+c AS (SELECT id, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM l),
+u AS (SELECT id, k, string_split(regexp_replace(s, ';', ';' || chr(1), 'g'), chr(1)) AS s FROM c),
 e AS (SELECT id, k * 1000 + generate_subscripts(s, 1) AS n, trim(unnest(s)) AS evidence FROM u),
 b AS (SELECT id, n, evidence, trim(regexp_replace(evidence, '[.,;]+$', '')) AS body FROM e WHERE NOT regexp_matches({_fold('evidence')}, '{'|'.join(A.PROVISIONAL)}')),
 m AS ({' UNION ALL '.join(f"SELECT id, n, evidence, {o} AS o, '{name}' AS kind, regexp_extract(body, {_literal(A.clause_pattern(name))}, 1) AS subject, regexp_extract(body, {_literal(A.clause_pattern(name))}, 2) AS word, regexp_extract(body, {_literal(A.clause_pattern(name))}, 3) AS value FROM b WHERE regexp_matches(body, {_literal(A.clause_pattern(name))})" for o, name in enumerate(A.ATTRIBUTES))}),
