@@ -100,25 +100,20 @@ def equivalence_key(attribute: Column, value: Column) -> Column:
     return F.coalesce(F.when(F.length(value) <= 128, key), F.concat(F.lit("exact:"), value))
 
 
-def _claim(body: Column) -> Column:
-    """The fact of a clause's body, or null: by the first attribute whose form and subject fit."""
+def _candidates(body: Column) -> Column:
+    """Forms that a clause's body fits, in order: array of struct(rank, attribute, phrase, value); none for provisional language."""
     low = folded(body)
     needs_none = r"^no password (?:is )?required for (.+)$"
     other = r"^(.*) (?:no password required|no password is required|password is not required)$"
-    absent = F.when(low.rlike(needs_none), F.regexp_extract(low, needs_none, 1)).when(low.rlike(other), F.regexp_extract(low, other, 1))
-    fact = lambda subject, attribute, value: F.struct(subject["subject"].alias("subject"), attribute.alias("attribute"), value.alias("value"), subject["environment"].alias("environment"))
-    none = canonical_subject(absent)
+    form = lambda rank, attribute, phrase, value: F.struct(F.lit(rank).alias("rank"), attribute.alias("attribute"), phrase.alias("phrase"), value.alias("value"))
+    none = lambda p: F.array(form(-1, F.lit("password"), F.regexp_extract(low, p, 1), F.lit("not required")))
     found = []
-    for name in ATTRIBUTES:
+    for rank, name in enumerate(ATTRIBUTES):
         p = clause_pattern(name)
-        subject, value = canonical_subject(F.regexp_extract(body, p, 1)), F.regexp_extract(body, p, 3)
-        fits = body.rlike(p) & subject.isNotNull() & ~folded(value).isin(*NO_VALUE)
-        if name == "port":
-            fits = fits & (value.try_cast("int") <= 65535)
-        said = value if name in VERBATIM else F.regexp_replace(folded(value), r"\s+", " ")
-        found.append(F.when(fits, fact(subject, folded(F.regexp_extract(body, p, 2)) if name == "literal" else F.lit(name), said)))
+        attribute = folded(F.regexp_extract(body, p, 2)) if name == "literal" else F.lit(name)
+        found.append(F.when(body.rlike(p), form(rank, attribute, F.regexp_extract(body, p, 1), F.regexp_extract(body, p, 3))))
     stated = ~reduce(lambda a, b: a | b, (low.contains(w) for w in PROVISIONAL))
-    return F.when(stated, F.when(absent.isNotNull(), F.when(none.isNotNull(), fact(none, F.lit("password"), F.lit("not required")))).otherwise(F.coalesce(*found)))
+    return F.when(stated, F.when(low.rlike(needs_none), none(needs_none)).when(low.rlike(other), none(other)).otherwise(F.filter(F.array(*found), lambda x: x.isNotNull())))
 
 
 def facts(rows: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
@@ -135,12 +130,19 @@ def facts(rows: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
     marked = F.regexp_replace(F.regexp_replace(body, "\n", "\n\u0001"), r"\.(\s|\z)", ".\u0001$1")
     clauses = F.flatten(F.transform(F.filter(F.split(marked, "\u0001"), lambda s: ~s.contains(",")), lambda s: F.filter(F.split(F.regexp_replace(s, ";", ";\u0001"), "\u0001"), lambda c: c != "")))
     plain = ~reduce(lambda a, b: a | b, (folded(t).contains(w) for w in EXAMPLES))
-    read = rows.where((F.octet_length(t) <= LONGEST) & plain).select(F.col(id).alias("id"), F.posexplode(F.slice(clauses, 1, MOST_CLAUSES)).alias("ordinal", "raw"))
-    read = read.select("id", "ordinal", F.trim(F.regexp_replace("raw", r"^\s+|\s+$", "")).alias("evidence")).where(F.octet_length("evidence") <= LONGEST_CLAUSE)
-    read = read.withColumn("f", _claim(F.trim(F.regexp_replace("evidence", "[.,;]+$", "")))).where("f is not null")
-    kept = read.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("ordinal", "f", "evidence"))), 1, MOST_FACTS).alias("of"))  # at most MOST_CLAUSES a text
-    each = kept.select("id", F.posexplode("of").alias("ordinal", "x"))
-    return each.select("id", "ordinal", "x.f.*", "x.evidence", equivalence_key(F.col("x.f.attribute"), F.col("x.f.value")).alias("key"))
+    read = rows.where((F.octet_length(t) <= LONGEST) & plain).select(F.col(id).alias("id"), F.slice(clauses, 1, MOST_CLAUSES).alias("clauses"), F.monotonically_increasing_id().alias("row"))
+    read = read.select("id", "row", F.posexplode("clauses").alias("ordinal", "raw"))
+    read = read.select("id", "row", "ordinal", F.trim(F.regexp_replace("raw", r"^\s+|\s+$", "")).alias("evidence")).where(F.octet_length("evidence") <= LONGEST_CLAUSE)
+    fits = read.select("*", F.explode(_candidates(F.trim(F.regexp_replace("evidence", "[.,;]+$", "")))).alias("f")).withColumn("c", canonical_subject(F.col("f.phrase")))
+    value, attribute = F.col("f.value"), F.col("f.attribute")
+    sound = F.col("c").isNotNull() & ((F.col("f.rank") < 0) | ~folded(value).isin(*NO_VALUE)) & ((attribute != "port") | F.coalesce(value.try_cast("int") <= 65535, F.lit(False)))
+    verbatim = F.col("f.rank").isin(-1, *(k for k, name in enumerate(ATTRIBUTES) if name in VERBATIM))
+    said = F.when(verbatim, value).otherwise(F.regexp_replace(folded(value), r"\s+", " "))
+    one = F.struct("ordinal", F.col("f.rank").alias("rank"), F.col("c.subject").alias("subject"), attribute.alias("attribute"), said.alias("value"), F.col("c.environment").alias("environment"), "evidence")
+    of = fits.where(sound).groupBy("row", "id").agg(F.array_sort(F.collect_list(one)).alias("of"))  # of one text: at most MOST_CLAUSES clauses
+    first = F.filter("of", lambda x, k: (k == 0) | (F.get("of", k - 1)["ordinal"] != x["ordinal"]))  # of a clause the first form that fits
+    each = of.select("id", F.posexplode(F.slice(first, 1, MOST_FACTS)).alias("ordinal", "x"))
+    return each.select("id", "ordinal", "x.subject", "x.attribute", "x.value", "x.environment", "x.evidence", equivalence_key(F.col("x.attribute"), F.col("x.value")).alias("key"))
 
 
 def requests(rows: DataFrame, id: str = "id", query: str = "query") -> DataFrame:
