@@ -126,6 +126,14 @@ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, COALESCE(s.f, 0
 UNION ALL SELECT p.lang, p.source, 'term', p.term, ((p.p - q.q) * (p.p - q.q) // q.q)::BIGINT FROM p JOIN q USING (lang, term) WHERE p.c > 0 AND p.p > q.q)
 SELECT lang, source, part, item, value, rank FROM (SELECT *, (ROW_NUMBER() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r) x WHERE part = 'pair' OR rank <= 200"""
 
+_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a, MIN(b) AS low FROM r GROUP BY a), l AS (SELECT a, COUNT(*) AS links FROM p GROUP BY a)
+SELECT e.vec_id, COALESCE(l.links, 0) AS n_links, least(e.vec_id, COALESCE(c.low, e.vec_id)) AS component_id, e.vec_id <= COALESCE(c.low, e.vec_id) AS kept FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN l ON l.a = e.vec_id"""
+
 
 QUERIES = {
     "op1_bloom_lm": op1_bloom_lm,
@@ -142,4 +150,4 @@ QUERIES = {
     "op12_source_tries": op12_source_tries,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL: dict[str, str] = {"op12_source_tries": _SOURCES}
+ORACLE_SQL: dict[str, str] = {"op5_vector_dedup": _VECTORS, "op12_source_tries": _SOURCES}
