@@ -1,11 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
 A count c becomes the level 1 + floor(log_BASE c), and an n-gram is inserted once for each level up to its own; asking level
-after level until one is missing gives the count back. The filter is made of shards, each filled by one task from the counts
-of its own n-grams, and goes to the workers by broadcast. The bigram model is
-    P(w | h) = (1 - new_q) c(h, w) / c(h) + new_q P1(w),   P1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
-all counts and the level q of the history from probes; new_q, the share of unseen continuations after histories of level q, is
-Good-Turing's count of singletons over the whole training text. Exact unigram counts serve the base score alone.
+after level until one is missing gives the count back. The first level is asked for `checks` times and levels from HEAVY on twice, each time by bits of its own, so
+that all V words together add less than STRAY absent continuations to a history; what higher levels answer too often on average is
+taken off by their known rate of error. The filter is made of shards, each filled by one task from the counts of its own n-grams, and
+goes to the workers by broadcast. The bigram model is
+    P(w | h) = (1 - new_q) v(h, w) / M_q + new_q P1(w),   P1(w) = (v(w) + 0.5) / (sum of v + 0.5 (V + 1)),
+where v is the value of a level, from probes, q the history's level and M_q the mean over histories of level q of the sum of v(h, .), so that
+the probabilities of a level's histories sum to 1 on average; a history's own sum differs as its counts are rounded to levels. new_q, the
+share of unseen continuations after histories of level q, is Good-Turing's count of singletons over the whole training text. A bigram's
+level is at most that of either word. Exact unigram counts serve the base score alone.
 
 Filter and counts grow with the corpus. A broadcast holds at most MAX_BROADCAST bytes, in parts of FETCH bytes that pass through the
 driver one by one; what is larger is cut into groups of shards that are broadcast one after another, each adding its answers to a
@@ -28,12 +32,16 @@ from memlake.session import ship, written
 
 BASE = 1.35
 HASHES = 5  # bits an entry sets, all in one 64-bit word
-ROOM = 10.5  # bits of the filter an entry has; a missing n-gram is taken for one seen once with a chance of some 3 %
+ROOM = 10.5  # bits of the filter an entry has; a missing entry is taken for one that is in with a chance of some 1.6 %
+ERROR = 1 / 60
+STRAY = 0.01
 MAX_BROADCAST = 192_000_000
 FETCH = 8_000_000
 SHARD_TEXT = 4_000_000  # bytes of text for each shard
 FLUSH = 1_000_000  # tokens counted at once in a task
 FOLDS, HELD = 5, 1
+HEAVY = 8  # from this level on (counts of 8 and more) n-grams are few and each weighs much
+CHECK = 128  # further entries of the first level have numbers above all levels
 TOP = 119  # level of the start of a text, above all levels of counts
 END, START = np.uint64(0x1D8AF6C1B5E0337F), np.uint64(0x5851F42D4C957F2D)
 
@@ -74,14 +82,25 @@ def word_and_mask(key: np.ndarray, level: int, words) -> tuple[np.ndarray, np.nd
     return (a >> np.uint64(32)) * words >> np.uint64(32), mask
 
 
-def build_filter(key: np.ndarray, level: np.ndarray) -> bytes:
+def checks_for(distinct: int) -> int:
+    """How often the first level is asked for, so that among `distinct` words fewer than STRAY absent ones pass."""
+    return max(1, int(np.ceil(np.log(STRAY / (distinct + 1)) / np.log(ERROR))))
+
+
+def entries(level: int, checks: int) -> list[int]:
+    """Numbers of the entries that stand for a level: `checks` for the first, two from HEAVY on, else one."""
+    return [level + CHECK * k for k in range(checks if level == 1 else 2 if level >= HEAVY else 1)]
+
+
+def build_filter(key: np.ndarray, level: np.ndarray, checks: int) -> bytes:
     """The words of one shard."""
-    words = max(1, int(level.sum() * ROOM / 64))
+    words = max(1, int((level + np.maximum(level - HEAVY + 1, 0) + (checks - 1)).sum() * ROOM / 64))
     out = np.zeros(words, np.uint64)
     step = 1
     while len(key):
-        word, mask = word_and_mask(key, step, np.uint64(words))
-        np.bitwise_or.at(out, word.astype(np.int64), mask)
+        for number in entries(step, checks):
+            word, mask = word_and_mask(key, number, np.uint64(words))
+            np.bitwise_or.at(out, word.astype(np.int64), mask)
         step += 1
         keep = level >= step
         key, level = key[keep], level[keep]
@@ -91,9 +110,9 @@ def build_filter(key: np.ndarray, level: np.ndarray) -> bytes:
 class Filter:
     """Shards of the filter; answers for keys of the shards it holds."""
 
-    def __init__(self, sizes: dict[int, int], shards: int):
+    def __init__(self, sizes: dict[int, int], shards: int, checks: int):
         """sizes: bytes of each shard; put() fills them in."""
-        self.shards = shards
+        self.shards, self.checks = shards, checks
         self.words = np.zeros(shards, np.uint64)
         self.start = np.full(shards, -1, np.int64)
         at = 0
@@ -107,7 +126,14 @@ class Filter:
         self.bits[self.start[shard] : self.start[shard] + len(raw) // 8] = np.frombuffer(raw, np.uint64)
 
     def has(self, key: np.ndarray, level: int) -> np.ndarray:
-        """Which keys are in, as places."""
+        """Which keys reach the level, as places."""
+        at = None
+        for number in entries(level, self.checks):
+            at = self._passed(key, number) if at is None else at[self._passed(key[at], number)]
+        return at
+
+    def _passed(self, key: np.ndarray, level: int) -> np.ndarray:
+        """Which keys have the entry, as places."""
         shard = shard_of(key, self.shards)
         start, alive = self.start[shard], None
         if not self.whole and (start < 0).any():
@@ -172,9 +198,9 @@ keep_cache("lexicon", _whole.clear)
 class Shared:
     """A Counts or Filter that is broadcast in parts and put together once a worker."""
 
-    def __init__(self, spark, kind, sizes: dict[int, int], shards: int, bytes_of, fetch):
-        """fetch(shards) gives their rows; bytes_of(size) the bytes of a shard."""
-        self.name, self.kind, self.sizes, self.shards = uuid.uuid4().hex, kind, sizes, shards
+    def __init__(self, spark, kind, sizes: dict[int, int], settings: tuple, bytes_of, fetch):
+        """fetch(shards) gives their rows; bytes_of(size) the bytes of a shard; kind(sizes, *settings) holds them."""
+        self.name, self.kind, self.sizes, self.settings = uuid.uuid4().hex, kind, sizes, settings
         self.parts = []
         for part in _groups([(s, bytes_of(n)) for s, n in sizes.items()], FETCH):
             if part:
@@ -185,7 +211,7 @@ class Shared:
         key = self.kind.__name__  # one of a kind in a worker
         if key not in _whole or _whole[key][0] != self.name:
             _whole.pop(key, None)
-            out = self.kind(self.sizes, self.shards)
+            out = self.kind(self.sizes, *self.settings)
             for part in self.parts:
                 for row in part.value:
                     out.put(*row)
@@ -315,9 +341,16 @@ def before(levels: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_bigrams(train: DataFrame, unigrams: DataFrame, counts, shards: int) -> DataFrame:
-    """(shard, filter, single, total) of train(text, known): the shard's filter of bigrams and unigrams, and tokens by level of the history: of bigrams met once, of all. known holds the tokens' exact counts where counts is None."""
+def count_bigrams(train: DataFrame, unigrams: DataFrame, counts, shards: int, checks: int) -> DataFrame:
+    """(shard, filter, single, total, mass, words, error) of train(text, known). known holds the tokens' exact counts where counts is None.
+
+    filter: of the shard's bigrams and unigrams. By level of the history: single, the bigrams met once; total, the tokens; mass, the sum of
+    the bigrams' values. By level of a word: words, their number. error: the filter's chance to pass an absent entry, times its words of bits.
+    """
     names, kinds = ["shard", "key", "level", "count"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names_out = ["shard", "filter", "single", "total", "mass", "words", "error"]
+    kinds_out = [pa.int32(), pa.binary(), *[pa.list_(t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64())], pa.float64()]
+    value = level_values(TOP + 1)
 
     @task("lexicon")
     def run(batches):
@@ -350,13 +383,18 @@ def count_bigrams(train: DataFrame, unigrams: DataFrame, counts, shards: int) ->
             u, n, first = _merged([np.frombuffer(r[0], np.uint64) for r in rows], [np.frombuffer(r[2], np.uint32) for r in rows])
             q = np.concatenate([np.frombuffer(r[1], np.uint8) for r in rows])[first]
         single, total = np.bincount(q[n == 1], minlength=TOP + 1), np.bincount(q, n, TOP + 1).astype(np.int64)
+        mass, pairs = np.bincount(q, value[level_of(n)], TOP + 1), len(u)
         u = np.concatenate([u, *(np.frombuffer(r[0], np.uint64) for r in words)])
         n = np.concatenate([n, *(np.frombuffer(r[2], np.int64) for r in words)])
-        return _batch(["shard", "filter", "single", "total"], [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())], [(shard, build_filter(u, level_of(n)), single.tolist(), total.tolist())])
+        level = level_of(n)
+        bits = build_filter(u, level, checks)
+        error = float(((np.bitwise_count(np.frombuffer(bits, np.uint64)) / 64.0) ** HASHES).sum())
+        of_words = np.bincount(level[pairs:], minlength=TOP + 1)
+        return _batch(names_out, kinds_out, [(shard, bits, single.tolist(), total.tolist(), mass.tolist(), of_words.tolist(), error)])
 
     pairs = train.select("text", "known").mapInArrow(run, "shard int, key binary, level binary, count binary")
     own = unigrams.select("shard", "key", F.lit(None).cast("binary").alias("level"), "count")
-    return _by_shard(pairs.unionByName(own), shards, merge, "shard int, filter binary, single array<long>, total array<long>")
+    return _by_shard(pairs.unionByName(own), shards, merge, "shard int, filter binary, single array<long>, total array<long>, mass array<double>, words array<long>, error double")
 
 
 def _groups(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
@@ -387,22 +425,33 @@ def _filled(docs: DataFrame, column: str, answer) -> DataFrame:
 
 
 class Smoothing:
-    """Probabilities from levels: N, V, and by the history's level the share of unseen continuations; start is the number of texts."""
+    """Probabilities from levels. total: N; distinct: V; single, every, mass and words as count_bigrams has them, summed; error: chance that a
+    missing entry passes. Values are put right for it."""
 
-    def __init__(self, total: int, distinct: int, single: np.ndarray, every: np.ndarray):
+    def __init__(self, total: int, distinct: int, single, every, mass, words, error: float):
         self.room = total + 0.5 * (distinct + 1)
         self.new = np.clip((single + 1.0) / (every + 2.0), 0.001, 0.999)
-        self.start = float(max(1, every[TOP]))
-        self.value = level_values(TOP + 1)
+        value = level_values(TOP + 1)
+        self.room_of_levels = float((words * value).sum()) + 0.5 * (distinct + 1)
+        histories = words.astype(float)
+        histories[TOP] = 1.0
+        ends = int(every[TOP])
+        if ends:
+            histories[int(level_of(np.array([ends]))[0])] -= 1  # the end of a text is a word, but no history
+        self.mass = np.where((histories > 0) & (mass > 0), mass / np.maximum(histories, 1), np.maximum(value, 1))
+        # An answer k comes from level k, or from one below whose next entry passed by error; these values are right on average.
+        self.value = value.copy()
+        chance = np.where(np.arange(2, TOP + 1) >= HEAVY, error**2, error)  # of the next level's entries
+        self.value[1:-1] = np.maximum((value[1:-1] - chance * value[2:]) / (1 - chance), 0)
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / self.room)
 
     def probability(self, level: np.ndarray, past: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """P of tokens from their own level, their history's (TOP: the start of a text) and the bigram's."""
-        history = np.where(past == TOP, self.start, self.value[past])
         fresh = np.where(past > 0, self.new[past], 1.0)
-        return (1 - fresh) * np.minimum(1.0, self.value[pair] / np.maximum(history, 1)) + fresh * (self.value[level] + 0.5) / self.room
+        pair = np.minimum(pair, np.minimum(level, past))
+        return (1 - fresh) * np.minimum(1.0, self.value[pair] / self.mass[past]) + fresh * (self.value[level] + 0.5) / self.room_of_levels
 
 
 def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -421,12 +470,13 @@ def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     def shared(df, kind, count, bytes_of, columns, group, groups):
         part = df.where(F.floor(F.col("shard") * groups / shards) == group)
         sizes = {r["shard"]: r["size"] for r in part.select("shard", F.expr(count).cast("long").alias("size")).collect()}  # the shards of max_broadcast bytes
-        shipped.append(Shared(spark, kind, sizes, shards, bytes_of, lambda some: part.where(F.col("shard").isin(some)).select(*columns).collect()))
+        shipped.append(Shared(spark, kind, sizes, (shards,) if kind is Counts else (shards, checks), bytes_of, lambda some: part.where(F.col("shard").isin(some)).select(*columns).collect()))
         return shipped[-1]
 
     unigrams = written(count_unigrams(rows.where(~F.col("held_out")), shards), "unigrams")
     about = unigrams.agg(F.sum("tokens"), F.sum("words")).first()
     total, distinct = about[0] or 0, about[1] or 0
+    checks = checks_for(distinct)
     groups = max(1, -(-distinct * 12 // max_broadcast))
     words_of = lambda g: shared(unigrams, Counts, "words", lambda n: 16 * n, ("shard", "key", "count"), g, groups)
     if groups == 1:
@@ -442,12 +492,14 @@ def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
 
             rows = _filled(rows, "known", answer)
             shipped.pop().destroy()
-    grams = written(count_bigrams(rows.where(~F.col("held_out")), unigrams, counts, shards), "bigrams")
-    sums = grams.select(F.posexplode(F.arrays_zip("single", "total")).alias("q", "x")).groupBy("q").agg(F.sum("x.single"), F.sum("x.total")).collect()  # a row for each level
-    single, every = np.zeros(TOP + 1), np.zeros(TOP + 1)
-    for q, a, b in sums:
-        single[q], every[q] = a, b
-    model = Smoothing(total, distinct, single, every)
+    grams = written(count_bigrams(rows.where(~F.col("held_out")), unigrams, counts, shards, checks), "bigrams")
+    by_level = F.posexplode(F.arrays_zip("single", "total", "mass", "words")).alias("q", "x")
+    sums = grams.select(by_level).groupBy("q").agg(*(F.sum(f"x.{c}") for c in ("single", "total", "mass", "words"))).collect()  # a row for each level
+    single, every, mass, words = np.zeros(TOP + 1), np.zeros(TOP + 1), np.zeros(TOP + 1), np.zeros(TOP + 1)
+    for q, *x in sums:
+        single[q], every[q], mass[q], words[q] = x
+    error = grams.agg(F.sum("error") * 8 / F.sum(F.octet_length("filter"))).first()[0] or 0.0
+    model = Smoothing(total, distinct, single, every, mass, words, error)
     filters = grams.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
     groups = max(1, -(-filters // max_broadcast))
     filter_of = lambda g: shared(grams, Filter, "octet_length(filter)", lambda n: n, ("shard", "filter"), g, groups)
