@@ -503,20 +503,17 @@ def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     filters = grams.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
     groups = max(1, -(-filters // max_broadcast))
     filter_of = lambda g: shared(grams, Filter, "octet_length(filter)", lambda n: n, ("shard", "filter"), g, groups)
-    if groups == 1:
-        table = filter_of(0)
-    else:
-        table = None
-        for g in range(groups):
-            held = filter_of(g)
+    for g in range(groups - 1):  # the last group answers while the texts are scored
+        held = filter_of(g)
 
-            def answer(texts, held=held):
-                w, ends = tokens(texts)
-                two = held.value.levels(bigrams(w, ends)[1]), held.value.levels(mix(w))
-                return [np.concatenate(x) for x in zip(*(np.split(y, ends[:-1]) for y in two))]
+        def answer(texts, held=held):
+            w, ends = tokens(texts)
+            two = held.value.levels(bigrams(w, ends)[1]), held.value.levels(mix(w))
+            return [np.concatenate(x) for x in zip(*(np.split(y, ends[:-1]) for y in two))]
 
-            rows = _filled(rows, "levels", answer)
-            shipped.pop().destroy()
+        rows = _filled(rows, "levels", answer)
+        shipped.pop().destroy()
+    table, alone = filter_of(groups - 1), groups == 1
 
     @task("lexicon")
     def run(batches):
@@ -527,15 +524,14 @@ def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
                     (c,) = _asked(w, counts.value)
                 else:
                     c = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64)
-                if table is not None:
-                    (level,) = _asked(w, lambda u: table.value.levels(mix(u)))
-                else:
+                (level,) = _asked(w, lambda u: table.value.levels(mix(u)))
+                pair = np.zeros(len(w), np.uint8)
+                if not alone:
                     both = [np.frombuffer(x, np.uint8) for x in part.column(4).to_pylist()]
-                    pairs, level = np.concatenate([x[: len(x) // 2] for x in both]), np.concatenate([x[len(x) // 2 :] for x in both])
+                    pair, level = np.concatenate([x[: len(x) // 2] for x in both]), level + np.concatenate([x[len(x) // 2 :] for x in both])
                 past = before(level, ends)
-                known = (level > 0) & (past > 0)
-                pair = np.zeros(len(w), np.uint8)
-                pair[known] = table.value.levels(bigrams(w, ends)[1][known]) if table is not None else pairs[known]
+                ask = (level > 0) & (past > 0) & (pair == 0)
+                pair[ask] = table.value.levels(bigrams(w, ends)[1][ask])
                 p = model.probability(level, past, pair)
                 begin = np.append(0, ends[:-1])
                 yield pa.RecordBatch.from_arrays(
