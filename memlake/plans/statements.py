@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.operators import answerability as B
 from memlake.operators import facts as A
-from memlake.session import table
+from memlake.session import partitions, table
 
 _UNIT = "concat('unit', p_size)"
 _ENV = "CASE p_partkey % 3 WHEN 0 THEN 'production ' WHEN 1 THEN 'staging ' ELSE '' END"
@@ -17,7 +17,9 @@ _QUERY = "concat('What is the Unit', s_suppkey % 50, CASE s_suppkey % 3 WHEN 0 T
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr(_TEXT).alias("text"))
+    """Texts made of a part's key and size: few bytes a row that take long to read, so they are dealt over all tasks first."""
+    parts = table(spark, d, "part").select("p_partkey", "p_size").repartition(partitions(spark), "p_partkey")
+    return parts.select(F.col("p_partkey").alias("id"), F.expr(_TEXT).alias("text"))
 
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
@@ -26,10 +28,10 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
 
 def fact_assessment(spark: SparkSession, d: str) -> DataFrame:
     """Each supplier's question, answered by the facts of all parts' texts."""
-    asked = A.requests(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.expr(_QUERY).alias("query")))
-    out = A.assess(asked, A.facts(_texts(spark, d)))
+    asked = A.requests(table(spark, d, "supplier").select("s_suppkey").repartition(partitions(spark), "s_suppkey").select(F.col("s_suppkey").alias("id"), F.expr(_QUERY).alias("query")))
+    out = A.assess(asked, A.facts(_texts(spark, d)), listed=False)
     names = lambda c: F.array_join(c, ",")
-    return out.select("id", "status", names(F.transform("supported", lambda s: F.concat(s["attribute"], F.lit("="), s["value"], F.lit("/"), F.size(s["sources"])))).alias("supported"), names(F.col("missing")).alias("missing"), names(F.col("conflicting")).alias("conflicting"))
+    return out.select("id", "status", names(F.transform("supported", lambda s: F.concat(s["attribute"], F.lit("="), s["value"], F.lit("/"), s["sources"]))).alias("supported"), names(F.col("missing")).alias("missing"), names(F.col("conflicting")).alias("conflicting"))
 
 
 #: Questions by a supplier's key and texts by a part's, with both kinds of each rule among them.
