@@ -156,3 +156,18 @@ def test_holdout_keeps_linked_cases_together(spark):
             owner.setdefault(x, k)
     order = {c: n for n, c in enumerate(sorted({find(k) for k, _ in cases}))}
     assert got == {k: (find(k), order[find(k)] % 5 == 0) for k, _ in cases}
+
+
+def test_close_pairs_by_tiles_lose_none(spark, monkeypatch):
+    """Keys of several tiles, with every pair of a key compared once: no row is written once a cell."""
+    monkeypatch.setattr(C, "TILE", 40)
+    rnd = np.random.default_rng(8)
+    v = rnd.normal(size=(260, 6)).astype(np.float32)
+    rows = [(k, v[k].tolist(), "ab"[k % 4 // 3]) for k in range(260)] + [(300, None, "a"), (301, [0.0] * 6, "a"), (302, [1.0] * 2, "a"), (303, v[0].tolist(), None), (304, [], "a")]
+    df = spark.createDataFrame(rows, "id long, vector array<float>, scope string")
+    work = C.tiled(df, ["scope"], [])
+    assert work.count() > 2 and max(r["n"] for r in work.selectExpr("size(left_items) AS n").collect()) < 100
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = {(a, b) for a in range(260) for b in range(a + 1, 260) if rows[a][2] == rows[b][2] and u[a] @ u[b] >= 0.6}
+    got = [(min(r["x"], r["y"]), max(r["x"], r["y"])) for r in C.close_pairs(df, ["scope"], 0.6).collect()]
+    assert len(got) == len(want) and set(got) == want
