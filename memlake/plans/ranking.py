@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import text as T
-from memlake.functions.vector import cosine
-from memlake.operators import graph, postings, rank, temporal, vector_index
+from memlake.operators import communities, graph, postings, rank, temporal, vector_index
 from memlake.session import file_stamp, table, work_dir
 
 QUERY = ["thatin", "ononst", "hehely"]
@@ -149,9 +148,9 @@ def document_frequency(spark, d):
 
 
 def conflict_scan(spark, d):
-    e = table(spark, d, "embeddings")
-    pairs = e.alias("a").join(e.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    return pairs.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine")).where("cosine >= 0.35")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    pairs = communities.close_pairs(e, ["label"], 0.349999)  # a cosine just below the bound may round up to it
+    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("cosine", 6).alias("cosine")).where("cosine >= 0.35")
 
 
 def session_drift(spark, d):
