@@ -13,17 +13,19 @@ The postings of a frequent term are spread over files by a hash of the document.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.functions.text import tokens
 from memlake.session import partitions, ship
 
 K1, B = 1.2, 0.75
 BUCKETS = 64
+SLOTS = 4  # of documents in buckets, for each task of a build
 _HEAD = 2  # characters of a term that decide its bucket
 _POSTING = "term string, id long, tf long, dl long, bucket int, batch string"
 _TERM = "term string, df long, cf long, bucket int, batch string"
@@ -35,18 +37,20 @@ def bucket_of(term: Column) -> Column:
 
 
 def _count(batches):
-    """(id, tokens) rows to (term, id, tf, dl): a document's tokens are counted where they are, before anything is moved."""
+    """(id, lower-case text) rows to (term, id, tf, dl): a document's tokens, as functions.text.tokens has them, are counted where they are, before anything is moved."""
+    words = re.compile("[a-z0-9_]{2,}").findall
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
-            term, owner, tf, dl = [], [], [], []
-            for id, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                counts = Counter(words or ())
+            term, tf, size, dl = [], [], [], []
+            for text in part.column(1).to_pylist():
+                counts = Counter(words(text))
                 term += counts
                 tf += counts.values()
-                owner += [id] * len(counts)
-                dl += [len(words or ())] * len(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(owner, pa.int64()), pa.array(tf, pa.int64()), pa.array(dl, pa.int64())], ["term", "id", "tf", "dl"])
+                size.append(len(counts))
+                dl.append(counts.total())
+            ids = part.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(np.repeat(ids, size), pa.int64()), pa.array(tf, pa.int64()), pa.array(np.repeat(dl, size), pa.int64())], ["term", "id", "tf", "dl"])
 
 
 def append(spark: SparkSession, path: str, docs: DataFrame, batch: str, id: str = "doc_id", text: str = "text") -> None:
@@ -55,15 +59,17 @@ def append(spark: SparkSession, path: str, docs: DataFrame, batch: str, id: str
     A null text has no tokens but counts as a document; a row without id is left out. One shuffle moves each (term, document) once.
     """
     ship(spark)
-    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     n = partitions(spark)
     counted = rows.mapInArrow(_count, "term string, id long, tf long, dl long").withColumn("bucket", bucket_of(F.col("term")))
-    spread = F.pmod(F.xxhash64("id"), F.lit(max(1, n // BUCKETS)))
+    slots = F.lit(max(1, SLOTS * n // BUCKETS))  # several of a bucket, so that no task gets much more than its share of a frequent one
     at = lambda table: f"{path}/{table}/batch={batch}"
-    counted.repartition(n, "bucket", spread).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
+    counted.repartition(n, "bucket", F.pmod(F.xxhash64("id"), slots)).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
     kept = spark.read.schema("term string, id long, tf long, dl long, bucket int").parquet(at("postings"))
-    kept.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).repartition(n, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("terms"))
-    rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size("t")), F.lit(0)).cast("long").alias("length")).write.mode("overwrite").parquet(at("totals"))
+    terms = kept.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    terms.repartition(n, "bucket", F.pmod(F.xxhash64("term"), slots)).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(at("terms"))
+    totals = rows.agg(F.count(F.lit(1)).alias("docs")).crossJoin(kept.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("length")))
+    totals.write.mode("overwrite").parquet(at("totals"))
 
 
 def postings(spark: SparkSession, path: str) -> DataFrame:

@@ -69,3 +69,17 @@ def test_an_index_of_nothing(spark, tmp_path):
 def test_a_frequent_term_weighs_little(spark, index):
     one = scores(postings.bm25(spark, index, ["delta_1"]))
     assert math.isclose(sum(one.values()), sum(scores(rank.bm25(rows(spark, [t or "" for t in TEXTS]), ["delta_1"])).values()), abs_tol=1e-9)
+
+
+def test_a_frequent_beginning_is_dealt_over_several_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        postings.append(spark, str(tmp_path / "i"), spark.range(400).select(F.col("id").alias("doc_id"), F.lit("Aa1 aa2 aa2 x").alias("text")), "one")
+        per = [r["count"] for r in postings.postings(spark, str(tmp_path / "i")).groupBy(F.input_file_name()).count().collect()]
+        assert sum(per) == 800 and max(per) < 500
+        assert sorted(tuple(r) for r in postings.document_frequencies(spark, str(tmp_path / "i")).collect()) == [("aa1", 400, 400), ("aa2", 400, 800)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
