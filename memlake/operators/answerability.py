@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.operators.facts import folded
+from memlake.session import partitions, written
+
+SMALL = 8 << 20  # bytes of judged pairs that are sent to all tasks; more are joined
 
 #: Attributes: the words that ask for one, the form in which a text gives it (fixed values). The first two are secrets.
 ATTRIBUTES = {
@@ -97,8 +100,19 @@ def evidence(rows: DataFrame, question: str = "question", text: str = "text") ->
     A clause counts if it gives the value in the attribute's form, names every component that the question names, and is neither negated nor
     unstated; of secrets and keys the value must be a real one. That no password is required answers a question for one. A null question
     isn't judged; a null or empty text holds no value. Matches that lie in one clause share its words. Rows stay as they are, repeated
-    ones too; a column `evidence` that they have is replaced. No shuffle.
+    ones too; a column `evidence` that they have is replaced. Each different pair of question and text is judged once, dealt over all
+    tasks, and joined back to its rows.
     """
+    plain = rows.drop("evidence")
+    pairs = plain.select(F.col(question).alias("__question"), F.col(text).alias("__text")).distinct()
+    dealt = pairs.repartition(partitions(rows.sparkSession), "__question", "__text").sortWithinPartitions("__question")  # of one question the patterns are compiled once
+    judged = written(_judged(dealt, "__question", "__text"), "evidence")
+    size = judged.agg(F.sum(F.coalesce(F.octet_length("__question"), F.lit(0)) + F.coalesce(F.octet_length("__text"), F.lit(0)) + 64)).first()[0] or 0
+    same = F.col(question).eqNullSafe(F.col("__question")) & F.col(text).eqNullSafe(F.col("__text"))
+    return plain.join(F.broadcast(judged) if size <= SMALL else judged, same).drop("__question", "__text")
+
+
+def _judged(rows: DataFrame, question: str, text: str) -> DataFrame:
     forms = F.create_map(*(F.lit(x) for k, (_, v) in {**ATTRIBUTES, "key": ("", KEY_VALUE)}.items() for x in (k, v)))
     a, parts = F.col("__asked"), F.col("__clauses")
     form = F.element_at(forms, a["kind"])
@@ -113,7 +127,7 @@ def evidence(rows: DataFrame, question: str = "question", text: str = "text") ->
     body = F.coalesce(stated(F.col(text)), F.lit(""))
     told = F.exists(parts, lambda c: given(c) & sound(c) & ~c.rlike(NEGATED))
     not_needed = (a["kind"] == "password") & F.exists(clauses(F.col("__body"), F.lit(NONE_NEEDED)), lambda c: c.rlike(NONE_NEEDED) & sound(c))
-    judged = asked(rows.drop("evidence"), question).withColumn("__body", F.when(F.col("__asked").isNotNull(), body))
+    judged = asked(rows, question).withColumn("__body", F.when(F.col("__asked").isNotNull(), body))
     judged = judged.withColumn("__clauses", clauses(F.col("__body"), form))
     return judged.withColumn("evidence", F.when(a.isNull(), "unrecognized").when(told | not_needed, "value_present").otherwise("missing_value")).drop("__asked", "__body", "__clauses")
 

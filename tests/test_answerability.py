@@ -68,3 +68,14 @@ def test_guard_drops_rows_without_the_value(spark):
 @pytest.mark.parametrize("name", sorted(A.ATTRIBUTES))
 def test_attributes_have_two_patterns(name):
     assert all(A.ATTRIBUTES[name])
+
+
+def test_pairs_that_repeat_are_judged_once(spark, monkeypatch):
+    seen, judged = [], A._judged
+    monkeypatch.setattr(A, "_judged", lambda rows, *names: seen.append(rows) or judged(rows, *names))
+    rows = spark.createDataFrame([(k, *(("What is the port?", "port 80"), ("What is the port?", None), (None, "port 80"))[k % 3]) for k in range(600)], "id long, question string, text string")
+    for size in (A.SMALL, 0):  # sent to all tasks, and joined
+        monkeypatch.setattr(A, "SMALL", size)
+        got = {r["id"]: r["evidence"] for r in A.evidence(rows).collect()}
+        assert got == {k: (PRESENT, MISSING, OTHER)[k % 3] for k in range(600)}
+    assert [r.count() for r in seen] == [3, 3]
