@@ -49,8 +49,15 @@ MEMORY = (
     "last_used_at string, last_useful_at string, valid_from string, valid_to string, invalidated_at string, invalidated_reason string, superseded_by string"
 )
 REVISION = "memory_id:string, event_id:string, text:string, kind:string, known_at:string, known_hlc:string, effective_at:string, confidence:double, use_count:long, usefulness_score:double, place:int"
+#: What is left of a memory in the end, beside its id: its row, whether there is one, and its revisions as JSON.
+STATE = MEMORY.split(", ", 1)[1] + ", known boolean, revisions string"
 NOTE = "memory_id string, event_id string, hlc string, ok boolean, wipe long, revision string, rival string, wiped boolean"
 PROPOSAL = "proposal_id string, run_id string, scope string, kind string, text string, rationale string, proposed_confidence double, status string, valid_from string, valid_to string, decided_at string, decided_reason string"
+#: Fields of a payload that a memory's touches are judged by; the others stay with the events.
+JUDGED = (
+    "scope", "kind", "text", "normalized_text", "confidence", "initial_usefulness", "valid_from", "valid_to", "outcome", "revision_event_id", "exposure_id", "reason", "created_at", "last_useful_at", "survivor_id",
+    "use_count_delta", "score_delta", "effective_at", "conflict_id", "resolution",
+)
 #: Fields of an event that touches a memory, beside the payload's.
 TOUCH = ("memory_id", "hlc", "event_id", "what", "ts", "run_id", "rank", "pair_best", "shown", "cited", "was_cited", "prior", "last_outcome", "p")
 
@@ -228,6 +235,10 @@ class Memory:
         return {"memory_id": self.id, "event_id": event_id, "known_at": known_at, "known_hlc": hlc, "effective_at": effective_at, "place": len(self.revisions), **{k: r[k] for k in ("text", "kind", "confidence", "use_count", "usefulness_score")}}
 
 
+def _state(s: Memory) -> dict:
+    return (s.row or {}) | {"memory_id": s.id, "known": s.row is not None, "revisions": json.dumps(list(s.revisions.values()))}
+
+
 class Proposal:
     """One proposal: proposed, then accepted or rejected; proposing again starts anew."""
 
@@ -256,8 +267,23 @@ def _nudged(confidence: float, target: float) -> float:
     return min(HIGHEST, max(LOWEST, confidence + ALPHA * (target - confidence)))
 
 
+def _rows(batch: pa.RecordBatch) -> list[dict]:
+    """Rows of a batch, read column by column; a column or a struct's field without values costs nothing a row."""
+
+    def dicts(names_: list[str], columns: list[pa.Array]) -> list[dict]:
+        blank, full = dict.fromkeys(names_), [k for k, c in enumerate(columns) if c.null_count < len(c)]
+        values = [structs(columns[k]) if pa.types.is_struct(columns[k].type) else columns[k].to_pylist() for k in full]
+        given = [names_[k] for k in full]
+        return [blank | dict(zip(given, v)) for v in zip(*values)] if full else [dict(blank) for _ in range(batch.num_rows)]
+
+    def structs(c: pa.StructArray) -> list[dict | None]:
+        return [d if there else None for d, there in zip(dicts([f.name for f in c.type], c.flatten()), c.is_valid().to_pylist())]
+
+    return dicts(batch.schema.names, batch.columns)
+
+
 def streamed(touches: DataFrame, key: str, machine: Callable, schema: str, each: Callable | None = None, last: Callable | None = None, order: tuple = ("hlc", "event_id")) -> DataFrame:
-    """Touches dealt by key, sorted by `order` and applied to one machine a key; rows of `each` touch and of the `last` state.
+    """Touches dealt by key, sorted by `order` and applied to one machine a key; rows of `each` touch and of the `last` state, null where they lack a field.
 
     A task reads its touches as they come and holds one state. A very frequent key is one task's stream, in time but not in memory.
     """
@@ -271,13 +297,13 @@ def streamed(touches: DataFrame, key: str, machine: Callable, schema: str, each:
         state, out = None, []
 
         def emit():
-            rows = pa.RecordBatch.from_pylist([{f: r[f] for f in fields} for r in out], schema=arrow)
+            rows = pa.RecordBatch.from_arrays([pa.array([r.get(f) for r in out], arrow.field(f).type) for f in fields], schema=arrow)
             out.clear()
             return rows
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                for e in batch.slice(at, 500).to_pylist():
+                for e in _rows(batch.slice(at, 500)):
                     if state is None or state.id != e[key]:
                         if state is not None and last:
                             out += last(state)
@@ -298,15 +324,15 @@ def streamed(touches: DataFrame, key: str, machine: Callable, schema: str, each:
 
 def parsed(log: DataFrame) -> DataFrame:
     """The log with its payload's fields as `p`; copies of an event are one."""
-    rows = log.select("event_id", "run_id", "ts", "kind", F.coalesce("hlc", F.lit("")).alias("hlc"), F.from_json("payload", PAYLOAD).alias("p"))
-    return rows.dropDuplicates(["event_id"])
+    rows = log.select("event_id", "run_id", "ts", "kind", F.coalesce("hlc", F.lit("")).alias("hlc"), "payload").dropDuplicates(["event_id"])
+    return rows.withColumn("p", F.from_json("payload", PAYLOAD)).drop("payload")
 
 
 def _touch(df: DataFrame, what, memory_id="p.memory_id", **more) -> DataFrame:
     """df as touches; fields not given are null."""
     kinds = {"rank": "string", "pair_best": "string", "shown": "string", "cited": "boolean", "was_cited": "boolean", "prior": "long", "last_outcome": "string"}
     extra = [more.get(c, F.lit(None).cast(t)).alias(c) for c, t in kinds.items()]
-    return df.select(F.col(memory_id).alias("memory_id"), "hlc", "event_id", what.alias("what") if not isinstance(what, str) else F.lit(what).alias("what"), "ts", "run_id", *extra, "p").where("memory_id is not null")
+    return df.select(F.col(memory_id).alias("memory_id"), "hlc", "event_id", what.alias("what") if not isinstance(what, str) else F.lit(what).alias("what"), "ts", "run_id", *extra, F.when(F.col("p").isNotNull(), F.struct(*(F.col(f"p.{c}").alias(c) for c in JUDGED))).alias("p")).where("memory_id is not null")
 
 
 def direct_touches(events: DataFrame) -> DataFrame:
@@ -337,6 +363,8 @@ def deliveries(events: DataFrame) -> DataFrame:
 
 def _with_shown(touches: DataFrame, delivered: DataFrame) -> DataFrame:
     """Citations and run ends with the revision that their delivery showed; '' where deliveries disagree or name none."""
+    if delivered.isEmpty():
+        return touches.withColumn("shown", F.when(F.col("p.exposure_id").isNotNull(), F.lit(""))).select(*TOUCH)
     by_run = delivered.groupBy("run_id", "memory_id").agg(F.min("shown").alias("low"), F.max("shown").alias("high"), F.count("shown").alias("n"), F.count(F.lit(1)).alias("all")).select(
         "run_id", "memory_id", F.when(F.col("n") == 0, F.lit(None)).when((F.col("n") < F.col("all")) | (F.col("low") != F.col("high")), "").otherwise(F.col("low")).alias("of_run")
     )
@@ -350,11 +378,14 @@ def _citations(notes: DataFrame, events: DataFrame, moves: DataFrame, max_depth:
     """(memory_id, wipe, run_id, turn, hlc, event_id, cited_at, rationale, query, own) of all citations with the memory they stand at.
 
     A merge moves the citations of its member to the survivor, which may be merged later: the loop takes as many rounds as merges follow
-    each other. moves(member, wipe, survivor, to_wipe, hlc, event_id).
+    each other; without moves they are not written. moves(member, wipe, survivor, to_wipe, hlc, event_id).
     """
     cited = events.where("kind = 'memory.cited'").select(F.col("event_id").alias("e"), F.col("p.memory_id").alias("m"), "run_id", "ts", "p")
     taken = notes.where("ok").join(cited, (F.col("event_id") == F.col("e")) & (F.col("memory_id") == F.col("m")))
-    own = written(taken.select("memory_id", "wipe", "run_id", F.coalesce("p.turn", F.lit(0)).alias("turn"), "hlc", "event_id", F.col("ts").alias("cited_at"), F.col("p.rationale").alias("rationale"), F.col("p.query").alias("query"), F.lit(True).alias("own")), "citations")
+    own = taken.select("memory_id", "wipe", "run_id", F.coalesce("p.turn", F.lit(0)).alias("turn"), "hlc", "event_id", F.col("ts").alias("cited_at"), F.col("p.rationale").alias("rationale"), F.col("p.query").alias("query"), F.lit(True).alias("own"))
+    if moves.isEmpty():
+        return own
+    own = written(own, "citations")
     every, before = own, None
     for _ in range(max_depth):
         row = F.struct("cited_at", "rationale", "query")
@@ -388,7 +419,8 @@ def project(log: DataFrame) -> dict[str, DataFrame]:
     reached = ends.join(delivered.select("run_id", "memory_id").distinct(), "run_id")
     ended = _touch(reached, "ended", "memory_id", rank=F.col("kind"))
     touches = written(_with_shown(direct.unionByName(merged).unionByName(ended), delivered), "touches")
-    notes = written(streamed(touches, "memory_id", Memory, NOTE, each=lambda s, e, note: [note]), "notes")
+    once = written(streamed(touches, "memory_id", Memory, f"{NOTE}, last boolean, {STATE}", each=lambda s, e, note: [note], last=lambda s: [{"last": True, **_state(s)}]), "notes")
+    notes = once.where("last is null").select(*names(NOTE))
 
     # what merges hand on: the citations of a member stand at its survivor from then on, until that one's are wiped
     effective = notes.where("ok").join(merges.select(F.col("event_id").alias("e"), "ts", "p"), F.col("event_id") == F.col("e")).select("event_id", "hlc", "ts", F.col("memory_id").alias("member"), F.col("wipe").alias("from_wipe"), F.col("p.survivor_id").alias("survivor"), "p")
@@ -398,7 +430,11 @@ def project(log: DataFrame) -> dict[str, DataFrame]:
     seen = F.last("wipe", ignorenulls=True).over(Window.partitionBy("memory_id").orderBy("hlc", "event_id"))
     to = line.withColumn("to_wipe", F.coalesce(seen, F.lit(0))).where("member is not null").select("event_id", "member", "to_wipe")
     moves = written(effective.join(to, ["event_id", "member"]).where("member <> survivor"), "moves")
-    cites = written(_citations(notes, events, moves.select("member", "from_wipe", "survivor", "to_wipe", "hlc", "event_id")), "all-citations")
+    cites = _citations(notes, events, moves.select("member", "from_wipe", "survivor", "to_wipe", "hlc", "event_id"))
+    # only memories that a run's end or a merge reached come out otherwise than in the first fold
+    again = written(touches.where("what = 'ended'").select("memory_id").unionByName(effective.select(F.col("survivor").alias("memory_id"))).distinct(), "again")
+    refold = not again.isEmpty()
+    cites = written(cites, "all-citations") if refold else cites
 
     # what a run's end finds: citations of the memory by this run and by others at that time
     first = cites.groupBy("memory_id", "wipe", "run_id", "turn").agg(F.min(F.struct("hlc", "event_id")).alias("at")).select("memory_id", "wipe", "run_id", "at.hlc", "at.event_id", F.lit(1).alias("one"), F.lit(None).cast("string").alias("end"))
@@ -412,10 +448,12 @@ def project(log: DataFrame) -> dict[str, DataFrame]:
     told = touches.where("what = 'ended'").join(counted, ["memory_id", "event_id"], "left").join(outcome, ["run_id", "memory_id"], "left").join(old, ["memory_id", "event_id"], "left")
     told = told.withColumn("cited", F.col("__cited")).withColumn("prior", F.col("__prior")).withColumn("last_outcome", F.col("__outcome")).withColumn("was_cited", F.coalesce("__was", F.lit(False))).select(*TOUCH)
     gained = _touch(effective.withColumn("run_id", F.lit(None).cast("string")), "gained", "survivor")
-    whole = written(touches.where("what <> 'ended'").unionByName(told).unionByName(gained.select(*TOUCH)), "all-touches")
-
-    states = streamed(whole, "memory_id", Memory, f"{MEMORY}, revisions string", last=lambda s: [(s.row or dict.fromkeys(names(MEMORY))) | {"revisions": json.dumps(list(s.revisions.values()))}])
-    states = written(states.withColumn("revisions", F.from_json("revisions", f"array<struct<{REVISION}>>")), "states")
+    states = once.where("last").select("memory_id", *names(STATE))
+    if refold:
+        whole = touches.where("what <> 'ended'").unionByName(told).unionByName(gained.select(*TOUCH)).join(again, "memory_id", "left_semi").select(*TOUCH)
+        folded = streamed(whole, "memory_id", Memory, f"memory_id string, {STATE}", last=lambda s: [_state(s)])
+        states = written(states.join(again, "memory_id", "left_anti").unionByName(folded), "states")
+    states = states.withColumn("memory_id", F.when(F.col("known"), F.col("memory_id"))).withColumn("revisions", F.from_json("revisions", f"array<struct<{REVISION}>>"))
     row = F.struct("cited_at", "rationale", "query")
     at = F.struct("hlc", "event_id")
     stand = cites.groupBy("memory_id", "wipe", "run_id", "turn").agg(F.max_by(F.when(F.col("own"), row), F.when(F.col("own"), at)).alias("mine"), F.min_by(row, at).alias("got")).join(wiped.select("memory_id", "wipe"), ["memory_id", "wipe"], "left_anti")
@@ -435,7 +473,7 @@ def project(log: DataFrame) -> dict[str, DataFrame]:
     rivals = notes.where("rival is not null").join(merges.select("event_id", "ts", F.col("p.survivor_id").alias("survivor")), "event_id")
     resolved = agreed.groupBy(F.col("p.conflict_id").alias("conflict_id"), "f").agg(F.max_by(F.struct("ts", F.col("p.resolution").alias("resolution")), F.struct("hlc", "event_id")).alias("l"))
     return {
-        "memories": states.where("memory_id is not null").drop("revisions"),
+        "memories": states.where("memory_id is not null").select(*names(MEMORY)),
         "revisions": states.select(F.explode("revisions").alias("r")).select("r.*"),
         "citations": citations,
         "proposals": streamed(offered, "proposal_id", Proposal, PROPOSAL, last=lambda s: [s.row] if s.row else []),

@@ -370,3 +370,21 @@ def test_a_stream_equals_the_replay(spark, tmp_path):
     want = P.streamed(P.direct_touches(P.parsed(spark.createDataFrame(log, LOG))), "memory_id", P.Memory, "memory_id string, row string, revisions string", last=lambda s: [{"memory_id": s.id, "row": json.dumps(s.row), "revisions": json.dumps(list(s.revisions.values()))}])
     assert {m: (json.loads(v[2]), json.loads(v[3])) for m, v in last.items()} == {r["memory_id"]: (json.loads(r["row"]), json.loads(r["revisions"])) for r in want.collect()}
     assert not any(v[1] for v in last.values()) and len({v[0] for v in last.values()}) >= 1
+
+
+def test_memories_that_no_run_end_or_merge_reaches_are_folded_once(spark, monkeypatch):
+    """With both kinds in one log, the tables are those of the replay."""
+    folds, streamed = [], P.streamed
+    monkeypatch.setattr(P, "streamed", lambda touches, key, *more, **named: folds.append(touches) or streamed(touches, key, *more, **named))
+    plain = [e for e in made_log(5, 400) if e[3] in ("memory.accepted", "memory.corrected", "memory.invalidated", "memory.restored", "memory.aged", "memory.temporal", "retrieval.regret", "memory.cited")]
+    get = lambda tables: sorted(str(r.asDict(True)) for name in ("memories", "revisions", "citations") for r in tables[name].collect())
+    alone = get(P.project(spark.createDataFrame(plain, LOG)))
+    assert [f.columns[0] for f in folds] == ["memory_id", "proposal_id"] and alone
+    text = lambda **p: json.dumps(p)
+    other = [("z1", "rz", at(1), "memory.accepted", "900", text(memory_id="other", text="one")), ("z2", "rz", at(2), "context.injected", "901", text(memory_ids=["other"])), ("z3", "rz", at(3), "run.failed", "902", text(category="x"))]
+    folds.clear()
+    both = P.project(spark.createDataFrame(plain + other, LOG))
+    assert [r[0] for r in folds[1].select("memory_id").distinct().collect()] == ["other"]
+    row = both["memories"].where("memory_id = 'other'").first()
+    assert (row["use_count"], row["usefulness_score"]) == (1, -0.1)
+    assert sorted(str(r.asDict(True)) for name in ("memories", "revisions", "citations") for r in both[name].where("memory_id <> 'other'").collect()) == alone
