@@ -44,6 +44,21 @@ def confidence(outcomes: DataFrame, start: float = 0.5) -> DataFrame:
     return outcomes.groupBy("memory_id").agg(fold.alias("confidence"))
 
 
+def followed(rows: DataFrame, earlier: DataFrame, keys: list[str], span: int, at: str = "at") -> DataFrame:
+    """Rows of `rows` with a row of `earlier` of the same keys at the same time or at most `span` before; `at` is a whole number, rows with a null key or time have none.
+
+    Time is cut into stretches of `span`: a row needs the first earlier row of its own stretch and the last of the one before, so a row meets
+    one row of aggregates and pairs are never formed, however many rows a key has.
+    """
+    begin = F.col(at) - F.pmod(F.col(at), F.lit(span))
+    ends = earlier.where(F.col(at).isNotNull()).groupBy(*keys, begin.alias("__begin")).agg(F.min(at).alias("__first"), F.max(at).alias("__last"))
+    after = ends.select(*keys, (F.col("__begin") + span).alias("__begin"), F.lit(None).cast("long").alias("__first"), "__last")
+    near = ends.withColumn("__last", F.lit(None).cast("long")).unionByName(after).groupBy(*keys, "__begin").agg(F.min("__first").alias("__first"), F.max("__last").alias("__last"))
+    found = rows.withColumn("__begin", begin).join(near, [*keys, "__begin"])
+    hit = F.coalesce(F.col("__first") <= F.col(at), F.lit(False)) | F.coalesce(F.col("__last") >= F.col(at) - span, F.lit(False))
+    return found.where(hit).select(*rows.columns)
+
+
 def spans(events: DataFrame, opened: str, closed: str) -> DataFrame:
     """(key, opened_at, closed_at): each closing event with the last opening one since the closing before it."""
     w = Window.partitionBy("key").orderBy("ts", "id")

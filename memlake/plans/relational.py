@@ -4,6 +4,14 @@ The model on the driver's tables: documents are memories (source: scope, lang: k
 view: served, click: cited, purchase: accepted, error: failed or regretted, signup: superseded), conversations the sessions.
 """
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from memlake.operators import temporal
+from memlake.plans.sqlpair import dialect, spark_query
+from memlake.session import table
+
 CITED = "SELECT user_id AS run_id, $K<<props>> AS memory_id, ts, value, event_id FROM events WHERE event_type = 'click'"
 MEM = "SELECT doc_id AS memory_id, source AS scope, lang AS kind, text, n_chars, doc_id % 97 AS use_count, (doc_id % 41) - 20 AS score, doc_id % 365 AS age_days FROM documents"
 WEIGHT = "CASE kind WHEN 'en' THEN 500 WHEN 'fr' THEN 1500 WHEN 'de' THEN 400 WHEN 'es' THEN 300 ELSE 200 END"
@@ -88,3 +96,15 @@ SQL: dict[str, str] = {
     "pricing_summary": "SELECT l_returnflag, l_linestatus, $R<<SUM(l_quantity)>> AS qty, $R<<AVG(l_discount)>> AS disc, $L<<COUNT(*)>> AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
     "nation_revenue": "SELECT n_name, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
 }
+
+
+def regret_within_2h(spark: SparkSession, d: str) -> DataFrame:
+    """The SQL of this name joins all pairs of a memory before it looks at their times."""
+    k, sec = dialect("$K<<props>>", 0), dialect("$SEC<<ts>>", 0)
+    e = table(spark, d, "events")
+    cited = e.where("event_type = 'click'").selectExpr("event_id", f"{k} AS memory_id", f"{sec} AS at")
+    dropped = e.where("event_type = 'view' AND value < 5").selectExpr(f"{k} AS memory_id", f"{sec} AS at")
+    return temporal.followed(cited, dropped, ["memory_id"], 7200).select("event_id", "memory_id").distinct()
+
+
+QUERIES = {**{k: spark_query(v) for k, v in SQL.items()}, "regret_within_2h": regret_within_2h}
