@@ -70,3 +70,12 @@ def test_metrics_against_gold(spark):
 def test_floor_percentile(spark):
     rows = spark.createDataFrame([("a", float(k % 20)) for k in range(100)] + [("b", 1.0), ("b", None)], "g string, v double")
     assert {tuple(r) for r in G.percentile_by_floor(rows, "g", "v", 0.95).collect()} == {("a", 19.0), ("b", 1.0)}
+
+
+def test_term_weights_look_for_the_term_before_the_pattern(spark):
+    import math
+
+    rows = spark.createDataFrame([("Cache hit",), ("precache",), (None,), ("the CACHES",), ("x_cache",), ("",)], "text string")
+    found = G.term_weights(rows, ["cache", "a.b"])
+    assert "Contains(" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [round(w, 9) for w in found.first()] == [round(math.log(7 / 3), 9), round(math.log(7), 9)]
