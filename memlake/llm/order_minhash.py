@@ -298,7 +298,8 @@ def bucket_components(bucket: DataFrame, marks: DataFrame, seqs: DataFrame, thre
         members = (bucket.where(F.col("sketch") < FIRST) if turn == 0 else bucket).select("sig", "salts", "salt", "id").join(component, "id")
         if turn:
             members = still_open(members)
-        rank = [F.min(F.struct(F.xxhash64("id", "sig", F.lit(turn * PIVOTS + p)), "id", "component")).alias(f"p{p}") for p in range(PIVOTS)]
+        # One order for all buckets of a turn: those of a group of copies have mostly the same pivots, so a text meets each but once.
+        rank = [F.min(F.struct(F.xxhash64("id", F.lit(turn * PIVOTS + p)), "id", "component")).alias(f"p{p}") for p in range(PIVOTS)]
         chosen = F.array_distinct(F.array(*(F.struct(F.col(f"p{p}.id"), F.col(f"p{p}.component").alias("of")) for p in range(PIVOTS))))
         pivots = about(members, *rank).select("sig", "salt", F.explode(chosen).alias("pivot")).select("sig", "salt", F.col("pivot.id").alias("pivot"), "pivot.of")
         pairs = members.join(pivots, ["sig", "salt"]).where("component <> of").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
