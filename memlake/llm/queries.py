@@ -95,7 +95,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from memlake.llm.suffix_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents"), passages=True)
 
 
 def op12_source_tries(spark: SparkSession, sf_dir: str) -> DataFrame:

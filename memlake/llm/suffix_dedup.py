@@ -313,20 +313,24 @@ def _shared_spans(texts: DataFrame) -> list[DataFrame]:
     return found
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, passages: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of docs (doc_id, text): every byte that a string of LEAST bytes covers which
-    starts anywhere else too, in this or another row, is removed.
+    starts anywhere else too, in this or another row, is removed. With passages, n_shared_words follows: the words of the text in
+    strings of more than 50 words that another row has too, whatever their bytes (see shared_passages); it removes nothing.
 
     A null text is empty. Rows are places of their own, also with equal ids or equal texts, so repeated long texts lose all their bytes.
     Texts below LEAST bytes lose nothing. Null ids stay; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
+    from memlake.llm import shared_passages
+
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     digest = F.sha2("text", 256)
     keyed = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest"), F.substring(F.unhex(digest), 1, 16).alias("key"))
-    long_ones = rows.where(F.octet_length("text") >= LEAST).select(F.substring(F.unhex(digest), 1, 16).alias("key"), "text")
-    texts = bucketed(long_ones.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), "texts", "key")
+    long_ones = rows.where(F.octet_length("text") >= (min(LEAST, 2 * shared_passages.LEAST - 1) if passages else LEAST)).select(F.substring(F.unhex(digest), 1, 16).alias("key"), "text")
+    every = bucketed(long_ones.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), "texts", "key")
+    texts = every.where(F.octet_length("text") >= LEAST)
     found = None
     for part in _shared_spans(texts):
         found = part if found is None else found.unionByName(part)
@@ -357,4 +361,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     whole = texts.where("copies > 1").select("key", F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept"))
     answers = once.unionByName(whole)
     zero = F.lit(0).cast("long")
-    return keyed.join(answers, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "digest").alias("kept_sha256"))
+    columns = ["doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "digest").alias("kept_sha256")]
+    found = keyed.join(answers, "key", "left")
+    if passages:
+        found = found.join(shared_passages.shared_words(every), "key", "left")
+        columns.append(F.coalesce("n_shared_words", zero).alias("n_shared_words"))
+    return found.select(*columns)
