@@ -3,42 +3,42 @@
 A count c becomes the level 1 + floor(log_BASE c), and an n-gram is inserted once for each level up to its own; asking level
 after level until one is missing gives the count back. The first level is asked for `checks` times and levels from HEAVY on twice, each time by bits of its own, so
 that all V words together add less than STRAY absent continuations to a history; what higher levels answer too often on average is
-taken off by their known rate of error. The filter is made of shards, each filled by one task from the counts of its own n-grams, and
-goes to the workers by broadcast. The bigram model is
+taken off by their known rate of error. The filter is made of shards, each filled by one task from the counts of its own n-grams. The
+bigram model is
     P(w | h) = (1 - new_q) v(h, w) / M_q + new_q P1(w),   P1(w) = (v(w) + 0.5) / (sum of v + 0.5 (V + 1)),
 where v is the value of a level, from probes, q the history's level and M_q the mean over histories of level q of the sum of v(h, .), so that
 the probabilities of a level's histories sum to 1 on average; a history's own sum differs as its counts are rounded to levels. new_q, the
 share of unseen continuations after histories of level q, is Good-Turing's count of singletons over the whole training text. A bigram's
 level is at most that of either word. Exact unigram counts serve the base score alone.
 
-Filter and counts grow with the corpus. A broadcast holds at most MAX_BROADCAST bytes, in parts of FETCH bytes that pass through the
-driver one by one; what is larger is cut into groups of shards that are broadcast one after another, each adding its answers to a
-written table.
+Filter and counts grow with the corpus, so neither is sent anywhere: the texts are cut into chunks, each chunk asks every shard once for its
+own distinct n-grams, in the shuffle that brings their counts there, and the task that fills the shard answers. Answers come back by
+chunk. So each text is read once and moved never, and the work grows with the corpus alone.
 """
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.hashing import character, hash_spans, mix, runs, summed
-from memlake.llm.workers import keep_cache, task
-from memlake.session import ship, written
+from memlake.llm.workers import task
+from memlake.session import bucketed, ship, written
 
 BASE = 1.35
 HASHES = 5  # bits an entry sets, all in one 64-bit word
 ROOM = 10.5  # bits of the filter an entry has; a missing entry is taken for one that is in with a chance of some 1.6 %
 ERROR = 1 / 60
 STRAY = 0.01
-MAX_BROADCAST = 192_000_000
-FETCH = 8_000_000
+MAX_BROADCAST = 192_000_000  # bytes of keys that a task may hold at once; nothing is broadcast
 SHARD_TEXT = 4_000_000  # bytes of text for each shard
-FLUSH = 1_000_000  # tokens counted at once in a task
+FLUSH = 1_000_000  # tokens of a chunk
 FOLDS, HELD = 5, 1
 HEAVY = 8  # from this level on (counts of 8 and more) n-grams are few and each weighs much
 CHECK = 128  # further entries of the first level have numbers above all levels
@@ -163,65 +163,19 @@ class Filter:
         return out
 
 
-class Counts:
-    """Exact unigram counts of the shards it holds."""
-
-    def __init__(self, sizes: dict[int, int], shards: int):
-        """sizes: number of words of each shard; put() fills them in."""
-        self.start = dict(zip(sorted(sizes), np.cumsum([0, *(sizes[s] for s in sorted(sizes))]).tolist()))
-        n = sum(sizes.values())
-        self.key, self.count, self.large = np.zeros(n, np.uint64), np.zeros(n, np.uint32), {}
-
-    def put(self, shard: int, key, count) -> None:
-        at, n = self.start[shard], np.frombuffer(count, np.int64)
-        self.key[at : at + len(n)] = np.frombuffer(key, np.uint64)
-        self.count[at : at + len(n)] = np.minimum(n, 2**32 - 1)
-        for k in np.flatnonzero(n >= 2**32 - 1):  # at most one word in 2^32 tokens
-            self.large[at + int(k)] = int(n[k])
-
-    def __call__(self, w: np.ndarray) -> np.ndarray:
-        """Counts of word hashes."""
-        if not len(self.key):
-            return np.zeros(len(w), np.int64)
-        u = mix(w)
-        at = np.minimum(np.searchsorted(self.key, u), len(self.key) - 1)
-        out = np.where(self.key[at] == u, self.count[at], 0).astype(np.int64)
-        for k in np.flatnonzero(out == 2**32 - 1):
-            out[k] = self.large[int(at[k])]
-        return out
-
-
-_whole: dict = {}
-keep_cache("lexicon", _whole.clear)
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as planes, first the lowest byte of all, then the next: what is alike in the high bytes compresses."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
-class Shared:
-    """A Counts or Filter that is broadcast in parts and put together once a worker."""
+def unpacked(raw: bytes, kind=np.uint64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).view(kind).ravel()
 
-    def __init__(self, spark, kind, sizes: dict[int, int], settings: tuple, bytes_of, fetch):
-        """fetch(shards) gives their rows; bytes_of(size) the bytes of a shard; kind(sizes, *settings) holds them."""
-        self.name, self.kind, self.sizes, self.settings = uuid.uuid4().hex, kind, sizes, settings
-        self.parts = []
-        for part in _groups([(s, bytes_of(n)) for s, n in sizes.items()], FETCH):
-            if part:
-                self.parts.append(spark.sparkContext.broadcast([tuple(r) for r in fetch(part)]))
 
-    @property
-    def value(self):
-        key = self.kind.__name__  # one of a kind in a worker
-        if key not in _whole or _whole[key][0] != self.name:
-            _whole.pop(key, None)
-            out = self.kind(self.sizes, *self.settings)
-            for part in self.parts:
-                for row in part.value:
-                    out.put(*row)
-                vars(part).pop("_value", None)  # the worker keeps the whole alone
-            _whole[key] = self.name, out
-        return _whole[key][1]
-
-    def destroy(self) -> None:
-        for part in self.parts:
-            part.destroy()
+def steps(key: np.ndarray) -> np.ndarray:
+    """Differences of sorted keys, the first from zero; np.cumsum gives the keys back."""
+    return np.diff(key, prepend=np.uint64(0))
 
 
 def _letters() -> tuple[np.ndarray, np.ndarray]:
@@ -257,21 +211,31 @@ def _slices(batch: pa.RecordBatch, column: int, most: int = 500_000):
         at = end
 
 
-def _blobs(key: np.ndarray, extra: list[np.ndarray], shards: int):
-    """(shard, bytes of key, bytes of each extra) of sorted keys."""
-    cut = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
+def _asked(chunk: int, key: np.ndarray, extra: list[np.ndarray], shards: int) -> list[tuple]:
+    """(shard, chunk, key, *extra), packed, for each shard that has some of the sorted keys."""
+    cut = np.searchsorted(shard_of(key, shards), np.arange(shards + 1)).tolist()
+    step = steps(key)
+    rows = []
     for s in range(shards):
-        if cut[s] < cut[s + 1]:
-            part = slice(cut[s], cut[s + 1])
-            yield s, key[part].tobytes(), [x[part].tobytes() for x in extra]
+        a, b = cut[s], cut[s + 1]
+        if a < b:
+            step[a] = key[a]
+            rows.append((s, chunk, packed(step[a:b]), *(packed(x[a:b]) for x in extra)))
+    return rows
 
 
-def _merged(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, their summed counts and the place of one of each."""
+def _merged(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their summed counts, the place of one of each, and for each key its place among the distinct ones."""
     u, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     out = np.zeros(len(u), np.int64)
     np.add.at(out, back, np.concatenate(counts).astype(np.int64))
-    return u, out, first
+    return u, out, first, back
+
+
+def _cut(answer: np.ndarray, keys: list) -> list[bytes]:
+    """The answers to each list of keys."""
+    ends = np.cumsum([len(k) for k in keys]).tolist()
+    return [packed(answer[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 def _by_shard(df: DataFrame, shards: int, merge, schema: str) -> DataFrame:
@@ -297,39 +261,86 @@ def _batch(names: list[str], kinds: list, rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names)
 
 
-def count_unigrams(train: DataFrame, shards: int) -> DataFrame:
-    """(shard, key, count, tokens, words) of the texts of train, a row for each shard; counts have 64 bits."""
+def chunked(rows: DataFrame, flush: int) -> DataFrame:
+    """(chunk, doc_id, held_out, ends, words, taught, place) of rows(doc_id, text, held_out), a row for each chunk of some flush tokens.
+
+    words: the sorted distinct tokens; taught: how often each is met in texts that teach; place: of each token among words, text after text;
+    ends: the places after each text.
+    """
+    names = ["chunk", "doc_id", "held_out", "ends", "words", "taught", "place"]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
 
     @task("lexicon")
     def run(batches):
-        held, size = [], 0
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def out():
-            u, n = np.unique(mix(np.concatenate(held)), return_counts=True)
-            return _batch(["shard", "key", "count"], [pa.int32(), pa.binary(), pa.binary()], [(s, k, x[0]) for s, k, x in _blobs(u, [n.astype(np.uint32)], shards)])
+            ids, outside = [x for p, _, _ in held for x in p.column(0).to_pylist()], np.array([x for p, _, _ in held for x in p.column(2).to_pylist()], bool)
+            long = np.concatenate([np.diff(ends, prepend=0) for _, _, ends in held])
+            words, place = np.unique(np.concatenate([w for _, w, _ in held]), return_inverse=True)
+            taught = np.bincount(place[np.repeat(~outside, long)], minlength=len(words))
+            return _batch(names, kinds, [(chunk, ids, outside.tolist(), packed(np.cumsum(long)), packed(steps(words)), packed(taught), packed(place.astype(np.uint32)))])
 
         for b in batches:
-            for part in _slices(b, 0):
-                w, _ = tokens(part.column(0))
-                held.append(w)
+            for part in _slices(b, 1, min(500_000, 4 * flush)):
+                w, ends = tokens(part.column(1))
+                held.append((part, w, ends))
                 size += len(w)
-                if size > FLUSH:
+                if size > flush:
                     yield out()
-                    held, size = [], 0
+                    chunk, held, size = chunk + 1, [], 0
         if held:
             yield out()
 
-    def merge(shard, rows):
-        u, n, _ = _merged([np.frombuffer(r[0], np.uint64) for r in rows], [np.frombuffer(r[1], np.uint32) for r in rows])
-        return _batch(["shard", "key", "count", "tokens", "words"], [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()], [(shard, u.tobytes(), n.tobytes(), int(n.sum()), len(u))])
+    schema = "chunk long, doc_id array<long>, held_out array<boolean>, ends binary, words binary, taught binary, place binary"
+    return bucketed(rows.mapInArrow(run, schema), "lm-chunks", "chunk", moved=False)
+
 
-    return _by_shard(train.select("text").mapInArrow(run, "shard int, key binary, count binary"), shards, merge, "shard int, key binary, count binary, tokens long, words long")
+def answered(chunks: DataFrame, *tables: DataFrame) -> DataFrame:
+    """chunks with a column `answers`: (k, answer) of the k-th table(chunk, shard, answer) for each shard that was asked, in order."""
+    every = reduce(DataFrame.unionAll, [t.where("chunk IS NOT NULL").select("chunk", F.struct(F.lit(k).alias("k"), "shard", "answer").alias("a")) for k, t in enumerate(tables)])
+    return chunks.join(every.groupBy("chunk").agg(F.array_sort(F.collect_list("a")).alias("answers")), "chunk")
+
+
+class Chunk:
+    """A row of answered(): the tokens of its texts by their places among its words, and the words' exact counts."""
+
+    def __init__(self, batch: pa.RecordBatch, k: int):
+        cell = lambda c: batch.column(c)[k].as_py()
+        self.number, self.ids, self.held_out = cell("chunk"), cell("doc_id"), np.array(cell("held_out"), bool)
+        self.ends, self.words, self.place = unpacked(cell("ends"), np.int64), np.cumsum(unpacked(cell("words"))), unpacked(cell("place"), np.uint32).astype(np.int64)
+        self.answers = [[], []]
+        for a in cell("answers"):
+            self.answers[a["k"]].append(a["answer"])
+        self.count = np.zeros(len(self.words), np.int64)
+        self.count[np.argsort(mix(self.words))] = np.concatenate([unpacked(x, np.int64) for x in self.answers[0]])
+
+    def keys(self) -> np.ndarray:
+        """The bigram of each token, then each word."""
+        return np.concatenate([bigrams(self.words[self.place], self.ends)[1], mix(self.words)])
+
+
+def count_unigrams(chunks: DataFrame, shards: int) -> DataFrame:
+    """Two kinds of rows: (shard, key, count, tokens, words) of the texts that teach, one for each shard, counts with 64 bits; and
+    (shard, chunk, answer), the counts of a chunk's words of a shard in the order of their keys."""
+    names, kinds = ["shard", "chunk", "answer", "key", "count", "tokens", "words"], [pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.int64(), pa.int64()]
+
+    @task("lexicon")
+    def run(batches):
+        for b in batches:
+            for chunk, words, taught in zip(*(b.column(c).to_pylist() for c in range(3))):
+                key = mix(np.cumsum(unpacked(words)))
+                order = np.argsort(key)
+                yield _batch(["shard", "chunk", "key", "count"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()], _asked(chunk, key[order], [unpacked(taught, np.int64)[order]], shards))
 
+    def merge(shard, rows):
+        keys = [np.cumsum(unpacked(r[1])) for r in rows]
+        u, n, _, back = _merged(keys, [unpacked(r[2], np.int64) for r in rows])
+        own = n > 0
+        return _batch(names, kinds, [(shard, None, None, packed(steps(u[own])), packed(n[own]), int(n.sum()), int(own.sum())), *((shard, r[0], a, None, None, None, None) for r, a in zip(rows, _cut(n[back], keys)))])
 
-def _asked(w: np.ndarray, *answers) -> list[np.ndarray]:
-    """Answers for each token, worked out once for each distinct one."""
-    u, back = np.unique(w, return_inverse=True)
-    return [a(u)[back] for a in answers]
+    asked = chunks.select("chunk", "words", "taught").mapInArrow(run, "shard int, chunk long, key binary, count binary")
+    return _by_shard(asked, shards, merge, "shard int, chunk long, answer binary, key binary, count binary, tokens long, words long")
 
 
 def before(levels: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -341,87 +352,52 @@ def before(levels: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_bigrams(train: DataFrame, unigrams: DataFrame, counts, shards: int, checks: int) -> DataFrame:
-    """(shard, filter, single, total, mass, words, error) of train(text, known). known holds the tokens' exact counts where counts is None.
+def count_bigrams(chunks: DataFrame, unigrams: DataFrame, shards: int, checks: int) -> DataFrame:
+    """Two kinds of rows: (shard, size, single, total, mass, words, error) of the texts that teach, one for each shard; and (shard, chunk,
+    answer), the filter's levels of a chunk's bigrams and words of a shard in the order of their keys.
 
-    filter: of the shard's bigrams and unigrams. By level of the history: single, the bigrams met once; total, the tokens; mass, the sum of
-    the bigrams' values. By level of a word: words, their number. error: the filter's chance to pass an absent entry, times its words of bits.
+    size: bytes of the shard's filter, of its bigrams and unigrams. By level of the history: single, the bigrams met once; total, the tokens; mass,
+    the sum of the bigrams' values. By level of a word: words, their number. error: the filter's chance to pass an absent entry, times its words of bits.
     """
-    names, kinds = ["shard", "key", "level", "count"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    names_out = ["shard", "filter", "single", "total", "mass", "words", "error"]
-    kinds_out = [pa.int32(), pa.binary(), *[pa.list_(t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64())], pa.float64()]
+    names, kinds = ["shard", "chunk", "key", "level", "count"], [pa.int32(), pa.int64(), *[pa.binary()] * 3]
+    names_out = ["shard", "chunk", "answer", "size", "single", "total", "mass", "words", "error"]
+    kinds_out = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), *[pa.list_(t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int64())], pa.float64()]
     value = level_values(TOP + 1)
 
     @task("lexicon")
     def run(batches):
-        held: list = []
-        size = 0
-
-        def out():
-            key = np.concatenate([x[0] for x in held])
-            u, first, n = np.unique(key, return_index=True, return_counts=True)
-            level = np.concatenate([x[1] for x in held])[first]
-            return _batch(names, kinds, [(s, k, x[0], x[1]) for s, k, x in _blobs(u, [level, n.astype(np.uint32)], shards)])
-
         for b in batches:
-            for part in _slices(b, 0):
-                w, ends = tokens(part.column(0))
-                c = _asked(w, counts.value)[0] if counts is not None else np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64)
-                held.append((bigrams(w, ends)[1], before(level_of(c), ends).astype(np.uint8)))
-                size += len(w)
-                if size > FLUSH:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+            for k in range(b.num_rows):
+                c = Chunk(b, k)
+                u, first, back = np.unique(c.keys(), return_index=True, return_inverse=True)
+                of_words = np.zeros(len(c.words), np.int64)
+                level = np.concatenate([before(level_of(c.count)[c.place], c.ends), of_words])[first].astype(np.uint8)
+                taught = np.repeat(~c.held_out, np.diff(c.ends, prepend=0))
+                n = np.bincount(back[: len(taught)][taught], minlength=len(u)).astype(np.uint32)
+                yield _batch(names, kinds, _asked(c.number, u, [level, n], shards))
 
     def merge(shard, rows):
-        words = [r for r in rows if r[1] is None]
-        rows = [r for r in rows if r[1] is not None]
-        u, n, q = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        if rows:
-            u, n, first = _merged([np.frombuffer(r[0], np.uint64) for r in rows], [np.frombuffer(r[2], np.uint32) for r in rows])
-            q = np.concatenate([np.frombuffer(r[1], np.uint8) for r in rows])[first]
+        own = [r for r in rows if r[0] is None]
+        rows = [r for r in rows if r[0] is not None]
+        keys = [np.cumsum(unpacked(r[1])) for r in rows]
+        every, met, first, back = _merged(keys, [unpacked(r[3], np.uint32) for r in rows]) if rows else [np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64)]
+        q = np.concatenate([unpacked(r[2], np.uint8) for r in rows])[first] if rows else np.zeros(0, np.uint8)
+        u, n, q = every[met > 0], met[met > 0], q[met > 0]
         single, total = np.bincount(q[n == 1], minlength=TOP + 1), np.bincount(q, n, TOP + 1).astype(np.int64)
         mass, pairs = np.bincount(q, value[level_of(n)], TOP + 1), len(u)
-        u = np.concatenate([u, *(np.frombuffer(r[0], np.uint64) for r in words)])
-        n = np.concatenate([n, *(np.frombuffer(r[2], np.int64) for r in words)])
-        level = level_of(n)
+        u = np.concatenate([u, *(np.cumsum(unpacked(r[1])) for r in own)])
+        level = level_of(np.concatenate([n, *(unpacked(r[3], np.int64) for r in own)]))
         bits = build_filter(u, level, checks)
         error = float(((np.bitwise_count(np.frombuffer(bits, np.uint64)) / 64.0) ** HASHES).sum())
         of_words = np.bincount(level[pairs:], minlength=TOP + 1)
-        return _batch(names_out, kinds_out, [(shard, bits, single.tolist(), total.tolist(), mass.tolist(), of_words.tolist(), error)])
-
-    pairs = train.select("text", "known").mapInArrow(run, "shard int, key binary, level binary, count binary")
-    own = unigrams.select("shard", "key", F.lit(None).cast("binary").alias("level"), "count")
-    return _by_shard(pairs.unionByName(own), shards, merge, "shard int, filter binary, single array<long>, total array<long>, mass array<double>, words array<long>, error double")
-
-
-def _groups(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
-    """Shards in groups of at most `most` bytes (a shard is far smaller)."""
-    out, size = [[]], 0
-    for shard, n in sorted(sizes):
-        if out[-1] and size + n > most:
-            out.append([])
-            size = 0
-        out[-1].append(shard)
-        size += n
-    return out
+        table = Filter({shard: len(bits)}, shards, checks)
+        table.put(shard, bits)
+        summary = (shard, None, None, len(bits), single.tolist(), total.tolist(), mass.tolist(), of_words.tolist(), error)
+        return _batch(names_out, kinds_out, [summary, *((shard, r[0], a, *[None] * 6) for r, a in zip(rows, _cut(table.levels(every)[back], keys)))])
 
-
-def _filled(docs: DataFrame, column: str, answer) -> DataFrame:
-    """docs with the binary column added to by answer(texts) -> (bytes a text), position by position as numbers of type."""
-    names = docs.columns
-    at, kind = names.index(column), np.int64 if column == "known" else np.uint8
-
-    @task("lexicon")
-    def run(batches):
-        for b in batches:
-            for part in _slices(b, names.index("text")):
-                got = [(np.frombuffer(x, kind) + new).tobytes() if x else new.tobytes() for x, new in zip(part.column(at).to_pylist(), answer(part.column(names.index("text"))))]
-                yield pa.RecordBatch.from_arrays([part.column(k) if k != at else pa.array(got, pa.binary()) for k in range(len(names))], names)
-
-    return written(docs.mapInArrow(run, docs.schema), "lm-round")
+    pairs = answered(chunks, unigrams).mapInArrow(run, "shard int, chunk long, key binary, level binary, count binary")
+    own = unigrams.where("chunk IS NULL").select("shard", "chunk", "key", F.lit(None).cast("binary").alias("level"), "count")
+    return _by_shard(pairs.unionByName(own), shards, merge, "shard int, chunk long, answer binary, size long, single array<long>, total array<long>, mass array<double>, words array<long>, error double")
 
 
 class Smoothing:
@@ -459,87 +435,39 @@ def score(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
 
     Rows whose crc32(doc_id as text) mod 5 is 1 don't teach. A null text is empty and has one token, the end; a null doc_id is not held out;
     repeated rows teach and are scored each. An empty table gives no rows; other columns are ignored. The result is a written table.
+    max_broadcast bounds the bytes of a chunk's keys (FLUSH does first); it changes how the work is cut, not what comes out.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD, F.lit(False)).alias("held_out"), F.lit(None).cast("binary").alias("known"), F.lit(None).cast("binary").alias("levels"))
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD, F.lit(False)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(16, -(-size // SHARD_TEXT))
-    shipped: list[Shared] = []
-
-    def shared(df, kind, count, bytes_of, columns, group, groups):
-        part = df.where(F.floor(F.col("shard") * groups / shards) == group)
-        sizes = {r["shard"]: r["size"] for r in part.select("shard", F.expr(count).cast("long").alias("size")).collect()}  # the shards of max_broadcast bytes
-        shipped.append(Shared(spark, kind, sizes, (shards,) if kind is Counts else (shards, checks), bytes_of, lambda some: part.where(F.col("shard").isin(some)).select(*columns).collect()))
-        return shipped[-1]
-
-    unigrams = written(count_unigrams(rows.where(~F.col("held_out")), shards), "unigrams")
+    chunks = chunked(rows, min(FLUSH, max(1, max_broadcast // 8)))
+    unigrams = written(count_unigrams(chunks, shards), "unigrams")
     about = unigrams.agg(F.sum("tokens"), F.sum("words")).first()
     total, distinct = about[0] or 0, about[1] or 0
-    checks = checks_for(distinct)
-    groups = max(1, -(-distinct * 12 // max_broadcast))
-    words_of = lambda g: shared(unigrams, Counts, "words", lambda n: 16 * n, ("shard", "key", "count"), g, groups)
-    if groups == 1:
-        counts = words_of(0)
-    else:
-        counts = None
-        for g in range(groups):
-            held = words_of(g)
-
-            def answer(texts, held=held):
-                w, ends = tokens(texts)
-                return np.split(_asked(w, held.value)[0], ends[:-1])
-
-            rows = _filled(rows, "known", answer)
-            shipped.pop().destroy()
-    grams = written(count_bigrams(rows.where(~F.col("held_out")), unigrams, counts, shards, checks), "bigrams")
+    grams = written(count_bigrams(chunks, unigrams, shards, checks_for(distinct)), "bigrams")
     by_level = F.posexplode(F.arrays_zip("single", "total", "mass", "words")).alias("q", "x")
-    sums = grams.select(by_level).groupBy("q").agg(*(F.sum(f"x.{c}") for c in ("single", "total", "mass", "words"))).collect()  # a row for each level
+    own = grams.where("chunk IS NULL")
+    sums = own.select(by_level).groupBy("q").agg(*(F.sum(f"x.{c}") for c in ("single", "total", "mass", "words"))).collect()  # a row for each level
     single, every, mass, words = np.zeros(TOP + 1), np.zeros(TOP + 1), np.zeros(TOP + 1), np.zeros(TOP + 1)
     for q, *x in sums:
         single[q], every[q], mass[q], words[q] = x
-    error = grams.agg(F.sum("error") * 8 / F.sum(F.octet_length("filter"))).first()[0] or 0.0
+    error = own.agg(F.sum("error") * 8 / F.sum("size")).first()[0] or 0.0
     model = Smoothing(total, distinct, single, every, mass, words, error)
-    filters = grams.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
-    groups = max(1, -(-filters // max_broadcast))
-    filter_of = lambda g: shared(grams, Filter, "octet_length(filter)", lambda n: n, ("shard", "filter"), g, groups)
-    for g in range(groups - 1):  # the last group answers while the texts are scored
-        held = filter_of(g)
-
-        def answer(texts, held=held):
-            w, ends = tokens(texts)
-            two = held.value.levels(bigrams(w, ends)[1]), held.value.levels(mix(w))
-            return [np.concatenate(x) for x in zip(*(np.split(y, ends[:-1]) for y in two))]
-
-        rows = _filled(rows, "levels", answer)
-        shipped.pop().destroy()
-    table, alone = filter_of(groups - 1), groups == 1
 
     @task("lexicon")
     def run(batches):
         for b in batches:
-            for part in _slices(b, 1):
-                w, ends = tokens(part.column(1))
-                if counts is not None:
-                    (c,) = _asked(w, counts.value)
-                else:
-                    c = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64)
-                (level,) = _asked(w, lambda u: table.value.levels(mix(u)))
-                pair = np.zeros(len(w), np.uint8)
-                if not alone:
-                    both = [np.frombuffer(x, np.uint8) for x in part.column(4).to_pylist()]
-                    pair, level = np.concatenate([x[: len(x) // 2] for x in both]), level + np.concatenate([x[len(x) // 2 :] for x in both])
-                past = before(level, ends)
-                ask = (level > 0) & (past > 0) & (pair == 0)
-                pair[ask] = table.value.levels(bigrams(w, ends)[1][ask])
-                p = model.probability(level, past, pair)
-                begin = np.append(0, ends[:-1])
+            for k in range(b.num_rows):
+                c = Chunk(b, k)
+                _, back = np.unique(c.keys(), return_inverse=True)
+                got = np.concatenate([unpacked(x, np.uint8) for x in c.answers[1]])[back]
+                level = got[len(c.place) :][c.place]
+                p = model.probability(level, before(level, c.ends), got[: len(c.place)])
+                begin, count = np.append(0, c.ends[:-1]), c.count[c.place]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(ends - begin), pa.array(np.add.reduceat((c > 0).astype(np.int64), begin)), pa.array(np.full(len(ends), total, np.int64)), pa.array(np.add.reduceat(model.base(c), begin)), pa.array(np.add.reduceat(np.log10(p), begin))],
+                    [pa.array(c.ids, pa.int64()), pa.array(c.held_out), pa.array(c.ends - begin), pa.array(np.add.reduceat((count > 0).astype(np.int64), begin)), pa.array(np.full(len(c.ends), total, np.int64)), pa.array(np.add.reduceat(model.base(count), begin)), pa.array(np.add.reduceat(np.log10(p), begin))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    out = written(rows.select("doc_id", "text", "held_out", "known", "levels").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
-    for held in shipped:
-        held.destroy()
-    return out
+    return written(answered(chunks, unigrams, grams).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")

@@ -122,3 +122,15 @@ def test_long_texts_repeats_and_other_columns(spark):
     rows = [(1, long), (1, long), (2, "w1 w2"), (2, "w1 w2")]
     got = L.score(docs(spark, rows).selectExpr("doc_id", "text", "1 AS score", "2 AS known", "3 AS levels")).collect()
     assert len(got) == 4 and {x["doc_id"] for x in got} == {1, 2} and all(np.isfinite(x["score"]) for x in got)
+
+
+def test_texts_are_read_as_often_whatever_the_limit(spark, monkeypatch):
+    """A model larger than the limit took a pass over the texts, and a written table, for each part of it."""
+    names, put = [], L.written
+    monkeypatch.setattr(L, "written", lambda df, name: names.append(name) or put(df, name))
+    rows, got = list(enumerate(corpus(6, 200, 60, 900))), []
+    for limit in (L.MAX_BROADCAST, 4_000):
+        names.clear()
+        got.append(sorted(map(tuple, L.score(docs(spark, rows), max_broadcast=limit).collect())))
+        assert names == ["unigrams", "bigrams", "lm-scores"]
+    assert np.allclose([x[5:] for x in got[0]], [x[5:] for x in got[1]], rtol=0, atol=1e-9) and [x[:5] for x in got[0]] == [x[:5] for x in got[1]]
