@@ -11,11 +11,13 @@ A trie is laid out in preorder: each leaf says at which depth its path leaves th
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ from memlake.session import partitions, ship, written
 SCALE = 1_000_000_000
 HELD = 400_000  # counters of a task's tries before they are sent off
 CHUNK = 4_096  # leaves of a row
-RANGE = 100_000  # leaves that a range is cut for, before merging
+RANGE = 200_000  # leaves that a range is cut for, before merging
 MOST_CUTS = 20_000  # of at most 16 bytes and a language each: the driver and the tasks hold no more
 CUT_BYTES = 16
 MOST_SENT = 100_000  # (lang, source) groups, a name and a number each, that are sent to all tasks
@@ -56,8 +58,9 @@ class Trie:
     width[k] counters belong to leaf k, in the order of the leaves; source is an index into names.
     """
 
-    def __init__(self, names, terms, docs, width, source, count):
-        self.names, self.terms = names, terms
+    def __init__(self, names, terms, docs, width, source, count, layout=None):
+        """layout: (shared, label) of row() if known."""
+        self.names, self.terms, self.layout = names, terms, layout
         self.docs, self.width, self.source, self.count = (np.asarray(x, np.int64) for x in (docs, width, source, count))
 
     @classmethod
@@ -99,9 +102,16 @@ class Trie:
 
     def part(self, begin: int, end: int) -> Trie:
         """Leaves begin..end."""
-        at = self.ends()
-        a, b = at[begin], at[end]
-        return Trie(self.names, self.terms[begin:end], self.docs[begin:end], self.width[begin:end], self.source[a:b], self.count[a:b])
+        return self.parts([begin, end])[0]
+
+    def parts(self, places: list[int]) -> list[Trie]:
+        """Leaves from each place up to the next."""
+        at, out = self.ends(), []
+        for begin, end in zip(places, places[1:]):
+            a, b = at[begin], at[end]
+            layout = self.layout and ([0, *self.layout[0][begin + 1 : end]], [self.terms[begin], *self.layout[1][begin + 1 : end]])
+            out.append(Trie(self.names, self.terms[begin:end], self.docs[begin:end], self.width[begin:end], self.source[a:b], self.count[a:b], layout))
+        return out
 
     def frequent(self, least: int) -> Trie:
         """The leaves of terms in at least so many documents."""
@@ -110,19 +120,23 @@ class Trie:
         return Trie(self.names, [t for t, k in zip(self.terms, keep.tolist()) if k], self.docs[keep], self.width[keep], self.source[counter], self.count[counter])
 
     def row(self) -> dict:
-        shared = [0] + [_common(a, b) for a, b in zip(self.terms, self.terms[1:])]
-        label = [t[s:] for t, s in zip(self.terms, shared)]
+        if self.layout:
+            shared, label = self.layout
+        else:
+            shared = [0] + [_common(a, b) for a, b in zip(self.terms, self.terms[1:])]
+            label = [t[s:] for t, s in zip(self.terms, shared)]
         return {"names": self.names, "shared": shared[: len(label)], "label": label, "docs": self.docs, "width": self.width.astype(np.int32), "source": self.source.astype(np.int32), "count": self.count}
 
     @classmethod
     def read(cls, batch: pa.RecordBatch, k: int) -> Trie:
         cell = lambda c: batch.column(c)[k]
         values = lambda c: cell(c).values.to_numpy(zero_copy_only=False)
+        layout = cell("shared").as_py(), cell("label").as_py()
         terms, last = [], b""
-        for s, rest in zip(cell("shared").as_py(), cell("label").as_py()):
+        for s, rest in zip(*layout):
             last = last[:s] + rest
             terms.append(last)
-        return cls(cell("names").as_py(), terms, values("docs"), values("width"), values("source"), values("count"))
+        return cls(cell("names").as_py(), terms, values("docs"), values("width"), values("source"), values("count"), layout)
 
 
 _TYPES = {"lang": pa.string(), "range": pa.int32(), "lo": pa.binary(), "names": pa.list_(pa.string()), "shared": pa.list_(pa.int32()), "label": pa.list_(pa.binary()), "docs": pa.list_(pa.int64()), "width": pa.list_(pa.int32()), "source": pa.list_(pa.int32()), "count": pa.list_(pa.int64())}
@@ -133,20 +147,26 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
 
 
 def count_tries(docs: DataFrame) -> DataFrame:
-    """(lang, lo, trie): the tries of each task by language, in rows of at most CHUNK leaves; lo is the first leaf's beginning."""
+    """(lang, lo, trie): the tries of each task by language, in rows of at most CHUNK leaves; lo is the first leaf's beginning.
+
+    A trie's first row is of a length of its own, and without lo, so that the others begin anywhere: each stands for CHUNK leaves. Were all first rows
+    full, the rows of like tries would begin at like places, and the leaves between these could not be cut.
+    """
     ship(docs.sparkSession)
 
     @task("source_tries")
     def run(batches):
         seen: dict[str, Counter] = {}
         counts: dict[str, dict[str, Counter]] = {}
+        number, sent = TaskContext.get().partitionId(), 0
 
         def out():
+            nonlocal sent
             for lang in sorted(seen):
-                trie = Trie.counted(seen[lang], counts[lang])
-                for at in range(0, len(trie.terms), CHUNK):
-                    piece = trie.part(at, min(at + CHUNK, len(trie.terms)))
-                    yield _batch([{"lang": lang, "lo": piece.terms[0][:CUT_BYTES], **piece.row()}])
+                trie, sent = Trie.counted(seen[lang], counts[lang]), sent + 1
+                n = len(trie.terms)
+                for k, piece in enumerate(trie.parts([0, *range(1 + zlib.crc32(b"%d %d" % (number, sent)) % CHUNK, n, CHUNK), n]) if n else []):
+                    yield _batch([{"lang": lang, "lo": piece.terms[0][:CUT_BYTES] if k else None, **piece.row()}])
             seen.clear()
             counts.clear()
 
@@ -173,10 +193,12 @@ def cut_places(tries: DataFrame) -> list[tuple[str, bytes]]:
     At most MOST_CUTS places reach the driver, of rows that are sampled if there are more than ten times as many; they decide how
     the work is dealt, not what comes out.
     """
-    rows = tries.count()
+    seen = tries.where("lo IS NOT NULL").select("lang", "lo")
+    rows = seen.count()
     if not rows:
         return []
-    seen = tries.select("lang", "lo").sample(min(1.0, 10 * MOST_CUTS / rows), 7) if rows > 10 * MOST_CUTS else tries.select("lang", "lo")
+    if rows > 10 * MOST_CUTS:
+        seen = seen.sample(10 * MOST_CUTS / rows, 7)
     los = sorted((r["lang"], bytes(r["lo"])) for r in seen.collect())
     n = min(MOST_CUTS, max(1, rows * CHUNK // RANGE))
     return sorted({los[len(los) * k // n] for k in range(1, n)})
@@ -194,17 +216,13 @@ def merge_tries(tries: DataFrame, least: int = 3) -> DataFrame:
                 lang, trie = batch.column("lang")[k].as_py(), Trie.read(batch, k)
                 head = lang.encode("utf-8", "surrogatepass") + b"\x00"
                 first, last = bisect_right(keys, head + trie.terms[0]), bisect_right(keys, head + trie.terms[-1])
-                begin = 0
-                for r in range(first, last + 1):
-                    end = len(trie.terms) if r == last else bisect_left(trie.terms, keys[r][len(head) :])
-                    if end > begin:
-                        yield _batch([{"range": r, "lang": lang, **trie.part(begin, end).row()}])
-                    begin = end
+                places = [0, *(bisect_left(trie.terms, keys[r][len(head) :]) for r in range(first, last)), len(trie.terms)]
+                yield _batch([{"range": r, "lang": lang, **piece.row()} for r, piece in enumerate(trie.parts(places), first) if piece.terms])
 
     @task("source_tries")
     def merge(batches):
         held: list[Trie] = []
-        size, at = 0, None
+        fresh, at = 0, None  # leaves since the last merging
 
         def out():
             trie = Trie.merged(held).frequent(least)
@@ -217,12 +235,11 @@ def merge_tries(tries: DataFrame, least: int = 3) -> DataFrame:
                 if key != at:
                     if held:
                         yield from out()
-                    held, size, at = [], 0, key
+                    held, fresh, at = [], 0, key
                 held.append(Trie.read(batch, k))
-                size += len(held[-1].terms)
-                if size > 4 * RANGE and len(held) > 1:
-                    held = [Trie.merged(held)]
-                    size = len(held[0].terms) // 2  # only what merging can still make smaller counts
+                fresh += len(held[-1].terms)
+                if fresh > max(RANGE, len(held[0].terms)) and len(held) > 1:
+                    held, fresh = [Trie.merged(held)], 0
         if held:
             yield from out()
 

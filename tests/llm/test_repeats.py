@@ -127,6 +127,20 @@ def test_source_tries_whole(spark, monkeypatch):
     assert sorted(map(tuple, source_tries.divergence(table(spark, rows).repartition(7)).collect())) == want
 
 
+def test_source_tries_ranges_hold_a_bounded_share_of_like_tries(spark, monkeypatch):
+    """Rows of like tries began at like places, so a range held a row of every trie, however many there were."""
+    monkeypatch.setattr(source_tries, "CHUNK", 50)
+    monkeypatch.setattr(source_tries, "RANGE", 200)
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
+    rows = [(k, " ".join(words), "en", f"s{k % 2}") for k in range(60)]
+    tries = source_tries.written(source_tries.count_tries(table(spark, rows).repartition(60)), "tries")
+    cuts = [x[1] for x in source_tries.cut_places(tries)]
+    full = Counter(sum(c <= w for c in cuts) for r in tries.collect() for w in source_tries.Trie.read(source_tries._batch([r.asDict()]), 0).terms)
+    assert sum(full.values()) > 4000 and max(full.values()) < 3 * 200
+    assert sorted(map(tuple, source_tries.divergence(table(spark, rows).repartition(60)).collect())) == brute_divergence(rows)
+
+
 def test_source_tries_empty(spark):
     assert source_tries.divergence(table(spark, [])).count() == 0
 
